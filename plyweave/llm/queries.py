@@ -7,19 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, urls
+from . import credentials, decontam, packing, piecewise, sharding, token_counts, urls
 from .common import table
 
 #: Fixed by the task.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf_dir, "documents"))
+    both = F.concat("base", "linked")
+    return found.select(
+        "doc_id",
+        *(credentials.counted(F.col("base"), k).alias(f"n_{k}") for k in credentials.KINDS),
+        F.sha2(F.encode(credentials.joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        credentials.joined(credentials.in_order(both)).alias("spans"),
+        F.size("linked").cast("long").alias("n_linked"),
+    )
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compare_in_turn(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), 1024)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_sort_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select(
@@ -27,13 +47,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.limits(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op7_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op5_decontamination, op6_best_fit_packing, op7_sharding, op9_token_counts, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontam, packing, piecewise, sharding, token_counts, urls
+from . import credentials, decontam, neardup, packing, piecewise, sharding, token_counts, urls
 from .common import table
 
 #: Fixed by the task.
@@ -30,6 +30,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compare_in_turn(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
@@ -57,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op5_decontamination, op6_best_fit_packing, op7_sharding, op9_token_counts, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_near_duplicates, op5_decontamination, op6_best_fit_packing, op7_sharding, op9_token_counts, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

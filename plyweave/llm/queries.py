@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontam, neardup, packing, piecewise, sharding, token_counts, urls
+from . import credentials, decontam, neardup, packing, piecewise, repeats, sharding, token_counts, urls
 from .common import table
 
 #: Fixed by the task.
@@ -51,6 +51,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
 
@@ -61,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_near_duplicates, op5_decontamination, op6_best_fit_packing, op7_sharding, op9_token_counts, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_near_duplicates, op5_decontamination, op6_best_fit_packing, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

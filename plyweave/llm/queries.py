@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontam, neardup, packing, piecewise, repeats, sharding, token_counts, urls
+from . import credentials, decontam, neardup, packing, piecewise, repeats, sharding, token_counts, toxicity, urls
 from .common import table
 
 #: Fixed by the task.
@@ -34,6 +34,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return found.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", predicted.alias("predicted"), "flagged")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
@@ -65,7 +73,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_near_duplicates, op5_decontamination, op6_best_fit_packing, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_near_duplicates, op4_toxicity, op5_decontamination, op6_best_fit_packing, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

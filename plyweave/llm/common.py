@@ -50,3 +50,11 @@ def ascii_lower(col):
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df (cheap to read: written before, or a configuration table) has at most so many rows."""
     return df.limit(rows + 1).count() <= rows
+
+
+def without(docs: DataFrame, dropped: DataFrame, rows: int = 400_000) -> DataFrame:
+    """docs less the rows whose doc_id and text hash are in dropped (doc_id, th), which is broadcast if its counted rows are few."""
+    told = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    gone = written(dropped.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "dropped")
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (told == gone["gone_th"])
+    return docs.join(F.broadcast(gone) if small_enough(gone, rows) else gone, same, "left_anti")

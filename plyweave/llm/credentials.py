@@ -119,3 +119,22 @@ def redacted(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") ->
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span replaced by the mark in text, and n_chars its new length where the text changed."""
+    names = docs.columns
+    at, size = names.index("text"), names.index("n_chars")
+
+    def clean(batches):
+        for b in batches:
+            texts, counts = b.column(at).to_pylist(), b.column(size).to_pylist()
+            for i, t in enumerate(texts):
+                if t and (spans := [*(base := base_spans(t)), *linked_spans(t, base)]):
+                    texts[i] = redacted(t, [(s[0], s[3]) for s in spans], mark)
+                    counts[i] = len(texts[i])
+            cols = list(b.columns)
+            cols[at], cols[size] = pa.array(texts, pa.string()), pa.array(counts, b.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -64,7 +64,7 @@ def _near(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids as strings): one row per row of docs.
+    """doc_id, th (hash of the text), n_words, n_hit, n_items, items (sorted ids as strings): one row per row of docs.
 
     A word is hit if an occurrence of a window of an item covers it. Null texts have no words; repeated rows and rows
     that share an id are judged by their own texts; empty tables give no rows or no hits; other columns are ignored.
@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         hits = few if hits is None else hits.union(few).distinct()
     counted = own.select("doc_id", "th", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     if hits is None:
-        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
+        return counted.select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
     hits = written(hits, "hits")
     few_docs = small_enough(hits, FEW)
 
@@ -115,7 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     result = written(n_hit.join(listed, n_hit["doc_id"].eqNullSafe(listed["doc_id"]) & (n_hit["th"] == listed["th"])).select(n_hit["doc_id"].alias("d"), n_hit["th"].alias("t"), "n_hit", "items"), "result")
     both = counted.join(F.broadcast(result) if few_docs else result, counted["doc_id"].eqNullSafe(result["d"]) & (counted["th"] == result["t"]), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return both.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"))
+    return both.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"))
 
 
 def contaminated() -> Column:

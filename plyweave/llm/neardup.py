@@ -112,12 +112,12 @@ def signed(a) -> pa.Array:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), h1, h2 (of the set), bands, s0..: for every row of docs."""
+    """doc_id, th (from docs), n (size of the set), h1, h2 (of the set), bands, s0..: for every row of docs."""
 
     def sign(batches):
         for b in batches:
             ids, parts = b.column(0), []
-            for raws in in_groups(b.column(1).to_pylist()):
+            for raws in in_groups(b.column(2).to_pylist()):
                 hashes, bounds = shingles(raws, k)
                 sets = [np.unique(hashes[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
                 n = np.array([len(s) for s in sets])
@@ -137,11 +137,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 continue
             n, sums, bands, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
             lists = pa.FixedSizeListArray.from_arrays(signed(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            cols = [ids, pa.array(n), signed(sums[:, 0]), signed(sums[:, 1]), lists, *(signed(np.ascontiguousarray(packed[:, i])) for i in range(LONGS))]
-            yield pa.record_batch(cols, ["doc_id", "n", "h1", "h2", "bands", *(f"s{i}" for i in range(LONGS))])
+            cols = [ids, b.column(1), pa.array(n), signed(sums[:, 0]), signed(sums[:, 1]), lists, *(signed(np.ascontiguousarray(packed[:, i])) for i in range(LONGS))]
+            yield pa.record_batch(cols, ["doc_id", "th", "n", "h1", "h2", "bands", *(f"s{i}" for i in range(LONGS))])
 
     longs = ", ".join(f"s{i} long" for i in range(LONGS))
-    return docs.mapInArrow(sign, f"doc_id long, n long, h1 long, h2 long, bands array<long>, {longs}")
+    return docs.mapInArrow(sign, f"doc_id long, th long, n long, h1 long, h2 long, bands array<long>, {longs}")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -189,7 +189,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, n_shingles, component_id, kept, th (hash of the text) for every row of docs.
 
     Words are what lies between ASCII white space, A-Z in lower case; texts of fewer than k words are one shingle. Null
     and empty texts and those without words are linked with nothing, and stay. component_id: the least doc_id reachable
@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows that share an id are judged by their own texts, and the first row of a component is any with its least id.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signs = written(signatures(own, k), "signatures").withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2")))
+    told = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+    signs = written(signatures(own.select("doc_id", told, "text"), k), "signatures").withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2")))
     longs = [f"s{i}" for i in range(LONGS)]
     classes = written(
         signs.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in longs)), "classes"
@@ -236,6 +237,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         groups = named.join(least, "root").select("cid", "component_id")
     else:
         groups = groups.select("cid", F.col("rep").alias("component_id"))
-    both = signs.select("doc_id", "n", "cid").join(groups, "cid", "left")
+    both = signs.select("doc_id", "th", "n", "cid").join(groups, "cid", "left")
     name = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return both.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
+    return both.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"), "th")

@@ -31,7 +31,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85).drop("th")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,460 @@
-"""The reference's operators as queries over the test tables, each with its DuckDB twin."""
+"""The tensor operators as queries over the test tables, each with its DuckDB twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import bits as B
+from ..functions import tokens as T
+from ..operators import codec, kv, linalg, nn
+from ..streaming import chat
+from . import model
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def elements(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    return e.select(F.lit("E").alias("tensor"), F.col("vec_id").alias("r"), F.col("k").cast("long").alias("k"), "v")
+
+
+def discounts(spark, d):
+    own = read(spark, d, "lineitem").select(F.lit("L").alias("tensor"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").cast("long").alias("k"), F.col("l_discount").cast("float").alias("v"))
+    return own.groupBy("tensor", "r", "k").agg(F.min("v").alias("v"))
+
+
+def groups(els):
+    bf = codec.with_bits(els)
+    return codec.grouped(bf, codec.base_exponent(bf))
+
+
+def cells(els):
+    return groups(els).withColumn("sm", codec.sign_mantissa(F.col("bits")))
+
+
+def vectors(spark, d, n=1):
+    """seq, k, x: the n vectors of least id."""
+    e = read(spark, d, "embeddings").orderBy("vec_id").limit(n)
+    return e.select(F.col("vec_id").alias("seq"), F.posexplode("embedding").alias("k", "x")).select("seq", F.col("k").cast("long").alias("k"), F.col("x").cast("double").alias("x"))
+
+
+def rows(spark, d):
+    return elements(spark, d).select(F.col("r").alias("seq"), "k", F.col("v").cast("double").alias("x"))
+
+
+def r4(c, digits=4):
+    """Rounded, and -0.0 as 0.0."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+# What the SQL twins share. bits: of the rounded bfloat16; val(b): its value.
+_E = "e AS (SELECT 'E' AS tensor, vec_id AS r, i - 1 AS k, embedding[i]::FLOAT AS v FROM embeddings, unnest(range(1, 65)) t(i))"
+_L = "e AS (SELECT 'L' AS tensor, l_orderkey AS r, l_linenumber::BIGINT AS k, min(l_discount::FLOAT) AS v FROM lineitem GROUP BY ALL)"
+_BF = """u AS (SELECT *, (v::BIT)::UINTEGER::BIGINT AS u FROM e),
+bf AS (SELECT tensor, r, k, v, ((u + 32767 + ((u >> 16) & 1)) >> 16) & 65535 AS bits FROM u),
+hist AS (SELECT s.exp, coalesce(n, 0) AS n FROM unnest(range(0, 256)) s(exp) LEFT JOIN (SELECT (bits >> 7) & 255 AS exp, count(*) AS n FROM bf GROUP BY 1) h USING (exp)),
+win AS (SELECT exp, sum(n) OVER (ORDER BY exp ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS covered, sum(n) OVER () AS n FROM hist),
+base AS (SELECT exp - 1 AS base_exp, covered, n FROM win WHERE exp <= 241 ORDER BY covered DESC, exp LIMIT 1),
+g AS (SELECT bf.*, base_exp, CASE WHEN ((bits >> 7) & 255) - base_exp BETWEEN 1 AND 15 THEN ((bits >> 7) & 255) - base_exp ELSE 0 END AS grp FROM bf, base),
+p AS (SELECT tensor, r, k, bits AS correct, ((bits >> 15) << 15) | (base_exp << 7) | (bits & 127) AS wrong FROM g WHERE grp = 0),
+x1 AS (SELECT vec_id AS seq, i - 1 AS k, embedding[i]::DOUBLE AS x FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8), unnest(range(1, 65)) t(i))"""
+
+
+def _val(b):
+    return f"(CASE WHEN ({b}) >> 15 = 1 THEN -1.0 ELSE 1.0 END * CASE WHEN (({b}) >> 7) & 255 = 0 THEN (({b}) & 127) * pow(2.0::DOUBLE, -133) ELSE (128 + (({b}) & 127)) * pow(2.0::DOUBLE, (({b}) >> 7 & 255) - 134) END)"
+
+
+_PLAIN = "((bits >> 15) << 15) | ((base_exp + grp) << 7) | (bits & 127)"
+
+
+def _sql(tail, source=_E):
+    return f"WITH {source}, {_BF} {tail}"
+
+
+@query(_sql("SELECT r AS vec_id, k AS col, bits, bits >> 15 AS sign, (bits >> 7) & 255 AS exp, bits & 127 AS mant FROM bf"))
+def bf16_bits(spark, d):
+    b = F.col("bits")
+    return codec.with_bits(elements(spark, d)).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), "bits", B.sign(b).alias("sign"), "exp", B.mantissa(b).alias("mant"))
+
+
+@query(_sql("SELECT exp, n FROM hist"))
+def exp_hist(spark, d):
+    return codec.exponent_histogram(codec.with_bits(elements(spark, d))).drop("tensor")
+
+
+@query(_sql("SELECT exp, n FROM hist", _L))
+def exp_hist_discount(spark, d):
+    return codec.exponent_histogram(codec.with_bits(discounts(spark, d))).drop("tensor")
+
+
+@query(_sql("SELECT base_exp, covered::BIGINT AS covered, n::BIGINT AS n FROM base"))
+def base_exp(spark, d):
+    return codec.base_exponent(codec.with_bits(elements(spark, d))).drop("tensor")
+
+
+@query(_sql("SELECT base_exp, covered::BIGINT AS covered, n::BIGINT AS n FROM base", _L))
+def base_exp_discount(spark, d):
+    return codec.base_exponent(codec.with_bits(discounts(spark, d))).drop("tensor")
+
+
+@query(_sql("SELECT r AS vec_id, k AS col, grp FROM g"))
+def exponent_groups(spark, d):
+    return groups(elements(spark, d)).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), "grp")
+
+
+@query(_sql("SELECT r AS vec_id, string_agg(printf('%02X', ((bits >> 15) << 7) | (bits & 127)), '' ORDER BY k) AS sm_hex, (SELECT string_agg(printf('%02X', a.grp + 16 * b.grp), '' ORDER BY a.k) FROM g a JOIN g b ON a.r = b.r AND b.k = a.k + 1 WHERE a.k % 2 = 0 AND a.r = g.r) AS gr_hex FROM g GROUP BY r"))
+def pack_hex(spark, d):
+    return codec.packed(groups(elements(spark, d))).select(F.col("r").alias("vec_id"), F.hex("sm").alias("sm_hex"), F.hex("gr").alias("gr_hex"))
+
+
+@query(_sql("SELECT r AS row, sum(c) OVER (ORDER BY r) - c AS offset_start, c AS n_escapes FROM (SELECT r, count(*) FILTER (grp = 0) AS c FROM g GROUP BY r)"))
+def csr_offsets(spark, d):
+    return codec.row_offsets(groups(elements(spark, d))).select(F.col("r").alias("row"), F.col("start").alias("offset_start"), "n_escapes")
+
+
+@query(_sql("SELECT r AS row, k AS col, correct, wrong FROM p"))
+def patches(spark, d):
+    return codec.escapes(groups(elements(spark, d))).select(F.col("r").alias("row"), F.col("k").alias("col"), "correct", "wrong")
+
+
+@query(_sql("SELECT r AS row, k AS col, correct, wrong FROM p", _L))
+def patches_discount(spark, d):
+    return codec.escapes(groups(discounts(spark, d))).select(F.col("r").alias("row"), F.col("k").alias("col"), "correct", "wrong")
+
+
+@query(_sql("SELECT n, esc AS escapes, round(100.0 * esc / n, 4) AS escape_pct, bytes AS packed_bytes, round(2.0 * n / bytes, 4) AS ratio FROM (SELECT *, n + (n + 1) // 2 + 4 * (m + 1) + 8 * esc AS bytes FROM (SELECT count(*) AS n, count(*) FILTER (grp = 0) AS esc, count(DISTINCT r) AS m FROM g))"))
+def codec_stats(spark, d):
+    return codec.statistics(groups(elements(spark, d))).drop("tensor")
+
+
+@query(_sql(f"SELECT base_exp, count(*) AS n, count(*) FILTER (grp = 0) AS n_escapes, count(*) FILTER (bits <> CASE WHEN grp = 0 THEN bits ELSE {_PLAIN} END) AS n_mismatch FROM g GROUP BY base_exp"))
+def codec_roundtrip(spark, d):
+    g = groups(elements(spark, d))
+    back = codec.decode(codec.packed(g), codec.escapes(g)).select("tensor", "r", "k", F.col("bits").alias("back"))
+    return g.join(back, ["tensor", "r", "k"]).groupBy("base_exp").agg(F.count("*").alias("n"), F.count_if(F.col("grp") == 0).alias("n_escapes"), F.count_if(F.col("bits") != F.col("back")).alias("n_mismatch"))
+
+
+@query(_sql(f"SELECT r AS vec_id, k AS col, round({_val('bits')}, 8) + 0.0 AS value FROM g"))
+def decode_exact(spark, d):
+    c = cells(elements(spark, d))
+    return codec.decoded(c.drop("bits"), codec.escapes(c)).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
+
+
+@query(_sql(f"SELECT r AS vec_id, k AS col, round({_val(_PLAIN)}, 8) + 0.0 AS value FROM g"))
+def decode_unpatched(spark, d):
+    return codec.decoded(cells(elements(spark, d)).drop("bits")).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
+
+
+_CORR = f"SELECT seq, r, sum(({_val('correct')} - {_val('wrong')}) * x) AS c FROM p JOIN x1 USING (k)"
+
+
+@query(_sql(f"SELECT r AS row, round(c, 6) + 0.0 AS correction FROM ({_CORR} WHERE seq = (SELECT min(seq) FROM x1) GROUP BY ALL)"))
+def patch_correction(spark, d):
+    c = linalg.patch_correction(codec.escapes(groups(elements(spark, d))), vectors(spark, d), B.from_bf16)
+    return c.select(F.col("r").alias("row"), r4(F.col("correction"), 6).alias("correction"))
+
+
+@query(_sql(f"SELECT seq, r AS row, round(c, 6) + 0.0 AS correction FROM ({_CORR} GROUP BY ALL)"))
+def patch_multi(spark, d):
+    c = linalg.patch_correction(codec.escapes(groups(elements(spark, d))), vectors(spark, d, 8), B.from_bf16)
+    return c.select("seq", F.col("r").alias("row"), r4(F.col("correction"), 6).alias("correction"))
+
+
+@query(_sql("SELECT r AS row, lane, n, (sum(n) OVER (PARTITION BY r ORDER BY lane) - n)::BIGINT AS prefix FROM (SELECT r, k % 256 AS lane, count(*) AS n FROM p GROUP BY ALL)", _L))
+def lane_prefix(spark, d):
+    return codec.lane_prefix(codec.escapes(groups(discounts(spark, d)))).select(F.col("r").alias("row"), "lane", "n", "prefix")
+
+
+@query(_sql("SELECT DISTINCT r AS row FROM p", _L))
+def nonempty_rows(spark, d):
+    return codec.escapes(groups(discounts(spark, d))).select(F.col("r").alias("row")).distinct()
+
+
+def exact(spark, d):
+    c = cells(elements(spark, d))
+    return codec.decoded(c.drop("bits"), codec.escapes(c))
+
+
+def _mv(n, b="bits"):
+    return f"SELECT seq, r AS row, round(sum({_val(b)} * x), 4) + 0.0 AS y FROM g JOIN (SELECT * FROM x1 WHERE seq IN (SELECT DISTINCT seq FROM x1 ORDER BY seq LIMIT {n})) USING (k) GROUP BY seq, r"
+
+
+def _y(df, *names):
+    return df.select(*names, F.col("r").alias("row"), r4(F.col("y")).alias("y"))
+
+
+@query(_sql(f"SELECT row, y FROM ({_mv(1, _PLAIN)})"))
+def matvec_unpatched(spark, d):
+    return _y(linalg.matvec(codec.decoded(cells(elements(spark, d)).drop("bits")), vectors(spark, d)))
+
+
+@query(_sql(f"SELECT row, y FROM ({_mv(1)})"))
+def matvec(spark, d):
+    return _y(linalg.matvec(exact(spark, d), vectors(spark, d)))
+
+
+@query(_sql(f"SELECT row, y FROM ({_mv(1)})"))
+def matvec_patched(spark, d):
+    c, x = cells(elements(spark, d)), vectors(spark, d)
+    y = linalg.matvec(codec.decoded(c.drop("bits")), x)
+    return _y(linalg.patched(y, linalg.patch_correction(codec.escapes(c), x, B.from_bf16)))
+
+
+@query(_sql(f"SELECT row // 2 AS row, max(y) FILTER (row % 2 = 0) AS gate, max(y) FILTER (row % 2 = 1) AS up FROM ({_mv(1)}) GROUP BY 1"))
+def dual_matvec(spark, d):
+    y = _y(linalg.matvec(exact(spark, d), vectors(spark, d)))
+    pick = lambda i: F.max(F.when(F.col("row") % 2 == i, F.col("y")))
+    return y.groupBy(F.expr("row div 2").alias("row")).agg(pick(0).alias("gate"), pick(1).alias("up"))
+
+
+@query(_sql(f"SELECT seq AS seq_id, row, y FROM ({_mv(4)})"))
+def gemm_batch4(spark, d):
+    return _y(linalg.matvec(exact(spark, d), vectors(spark, d, 4)), F.col("seq").alias("seq_id"))
+
+
+@query(_sql(f"SELECT seq AS seq_id, row, y FROM ({_mv(8)})"))
+def gemm_batch8(spark, d):
+    return _y(linalg.matvec(exact(spark, d), vectors(spark, d, 8)), F.col("seq").alias("seq_id"))
+
+
+@query(_sql(f"SELECT seq AS seq_id, row, y FROM ({_mv(8)})"))
+def gemm_blocked(spark, d):
+    return _y(linalg.gemm_blocked(exact(spark, d), vectors(spark, d, 8)), F.col("seq").alias("seq_id"))
+
+
+_X = "x AS (SELECT vec_id AS seq, i - 1 AS k, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) t(i)), n AS (SELECT max(seq) + 1 AS n FROM x), o AS (SELECT (seq + 1) % n.n AS seq, k, x AS b FROM x, n)"
+
+
+def other(spark, d):
+    """Each vector under the next one's id."""
+    x = rows(spark, d)
+    n = read(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    return x.withColumn("seq", (F.col("seq") + 1) % n)
+
+
+@query(f"WITH {_X} SELECT seq AS seq_id, k AS col, round(x + b, 4) + 0.0 AS y FROM x JOIN o USING (seq, k)")
+def residual_add(spark, d):
+    return linalg.residual_add(rows(spark, d), other(spark, d)).select(F.col("seq").alias("seq_id"), F.col("k").alias("col"), r4(F.col("y")).alias("y"))
+
+
+_NORM = "round({0} / sqrt(sum({0} * {0}) OVER (PARTITION BY seq) / 64 + 1e-5), 4) + 0.0"
+
+
+@query(f"WITH {_X} SELECT seq AS vec_id, k AS col, {_NORM.format('x')} AS y FROM x")
+def rmsnorm(spark, d):
+    return nn.rms_norm(rows(spark, d)).select(F.col("seq").alias("vec_id"), F.col("k").alias("col"), r4(F.col("y")).alias("y"))
+
+
+@query(f"WITH {_X}, s AS (SELECT seq, k, x + b AS x FROM x JOIN o USING (seq, k)) SELECT seq AS vec_id, k AS col, round(x, 4) + 0.0 AS total, {_NORM.format('x')} AS y FROM s")
+def add_rmsnorm(spark, d):
+    return nn.add_rms_norm(rows(spark, d), other(spark, d)).select(F.col("seq").alias("vec_id"), F.col("k").alias("col"), r4(F.col("total")).alias("total"), r4(F.col("y")).alias("y"))
+
+
+@query(f"WITH {_X} SELECT seq AS vec_id, k AS col, round(x / (1 + exp(-x)) * b, 4) + 0.0 AS y FROM x JOIN o USING (seq, k)")
+def swiglu(spark, d):
+    return nn.swiglu(rows(spark, d), other(spark, d)).select(F.col("seq").alias("vec_id"), F.col("k").alias("col"), r4(F.col("y")).alias("y"))
+
+
+@query(f"WITH {_X}, t AS (SELECT conv_id, turn AS pos, length(text) % 600 AS id FROM conversations) SELECT conv_id, pos, i AS col, round(coalesce(x, 0), 4) + 0.0 AS value FROM t, unnest(range(0, 64)) q(i) LEFT JOIN x ON seq = id AND k = i")
+def embed_lookup(spark, d):
+    t = read(spark, d, "conversations").select(F.col("conv_id").alias("seq"), F.col("turn").alias("pos"), (F.length("text") % 600).cast("long").alias("token_id"))
+    return nn.embed_lookup(t, rows(spark, d).withColumnRenamed("seq", "id"), 64).select(F.col("seq").alias("conv_id"), "pos", F.col("k").cast("long").alias("col"), r4(F.col("x")).alias("value"))
+
+
+@query("SELECT d, round(pow(10000.0::DOUBLE, -2.0 * d / 16), 8) AS freq FROM unnest(range(0, 8)) t(d)")
+def rope_freqs(spark, d):
+    return spark.range(8).select(F.col("id").alias("d"), F.round(nn.rope_frequency(F.col("id"), 16), 8).alias("freq"))
+
+
+@query(f"WITH {_X}, h AS (SELECT seq, k // 16 AS head, k % 16 AS d, x FROM x), a AS (SELECT l.seq, l.head, l.d, l.x AS a, u.x AS b, (l.seq % 100) * pow(10000.0::DOUBLE, -2.0 * l.d / 16) AS t FROM h l JOIN h u ON l.seq = u.seq AND l.head = u.head AND u.d = l.d + 8) SELECT seq AS vec_id, head * 16 + d AS col, round(a * cos(t) - b * sin(t), 4) + 0.0 AS value FROM a UNION ALL SELECT seq, head * 16 + d + 8, round(a * sin(t) + b * cos(t), 4) + 0.0 FROM a")
+def rope(spark, d):
+    x = rows(spark, d).withColumn("pos", F.col("seq") % 100)
+    return nn.rope(x, 16).select(F.col("seq").alias("vec_id"), F.col("k").alias("col"), r4(F.col("y")).alias("value"))
+
+
+_Q = f"{_X}, m AS (SELECT seq AS pos, k // 16 AS kv_head, k % 16 AS d, x, max(abs(x)) OVER (PARTITION BY seq, k // 16) AS top FROM x), q AS (SELECT *, greatest(least(CASE WHEN top = 0 THEN 0 ELSE round_even(x * 127.0 / top, 0) END, 127), -127)::INT AS q, top / 127.0 AS scale FROM m)"
+
+
+def kv_cells(spark, d):
+    return rows(spark, d).select(F.col("seq").alias("pos"), F.expr("k div 16").alias("kv_head"), (F.col("k") % 16).alias("d"), "x")
+
+
+@query(f"WITH {_Q} SELECT pos, kv_head, d, q, round(scale, 8) AS scale FROM q")
+def kv_quant(spark, d):
+    return kv.quantise(kv_cells(spark, d)).select("pos", "kv_head", "d", "q", F.round("scale", 8).alias("scale"))
+
+
+@query(f"WITH {_Q} SELECT pos, kv_head, round(max(abs(q * scale - x) / scale), 4) AS max_err FROM q GROUP BY ALL")
+def kv_dequant_error(spark, d):
+    q = kv.dequantised(kv.quantise(kv_cells(spark, d)))
+    return q.groupBy("pos", "kv_head").agg(F.round(F.max(F.abs(F.col("y") - F.col("x")) / F.col("scale")), 4).alias("max_err"))
+
+
+def turns(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", (F.floor(F.length("text") / 4) + 1).cast("long").alias("n"))
+
+
+_T = "t AS (SELECT conv_id, turn, length(text) // 4 + 1 AS n FROM conversations)"
+
+
+@query(f"WITH {_T} SELECT conv_id, turn, (sum(n) OVER w - n)::BIGINT AS start_pos, (sum(n) OVER w)::BIGINT AS end_pos FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
+def turn_positions(spark, d):
+    return kv.turn_positions(turns(spark, d))
+
+
+_SHIFT = f"WITH RECURSIVE {_T}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t), f AS (SELECT conv_id, turn, i, n::BIGINT AS pos_after, 0::BIGINT AS discarded FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.turn, o.i, (f.pos_after - CASE WHEN f.pos_after + o.n + 16 + 64 > 256 OR f.pos_after > 1024 THEN f.pos_after // 2 ELSE 0 END + o.n)::BIGINT, (CASE WHEN f.pos_after + o.n + 16 + 64 > 256 OR f.pos_after > 1024 THEN f.pos_after // 2 ELSE 0 END)::BIGINT FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1) SELECT conv_id, turn, pos_after, discarded FROM f"
+
+
+@query(_SHIFT)
+def context_shift(spark, d):
+    return kv.context_shift(turns(spark, d), 256, 16)
+
+
+@query(_SHIFT)
+def chat_state_stream(spark, d):
+    src = read(spark, d, "conversations")
+    path = f"{d}/conversations.parquet"
+    feed = spark.readStream.schema(src.schema).parquet(path + "*")
+    own = feed.select("conv_id", "turn", (F.floor(F.length("text") / 4) + 1).cast("long").alias("n"))
+    return chat.drained(chat.context_shift_stream(own, 256, 16), "chat_state")
+
+
+@query("SELECT 32 * 8 * 128 * 2 + 32 * 8 * 8 AS bytes_per_token, greatest(128, least(8192, 2000000000 // 67584)) AS max_seq")
+def kv_capacity(spark, d):
+    return kv.capacity(spark.createDataFrame([(32, 8, 128)], "n_layer long, n_head_kv long, head_dim long"), 2_000_000_000)
+
+
+_A = "z AS (SELECT label AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding FROM embeddings), y AS (SELECT session, max(t) AS t FROM z GROUP BY 1), s AS (SELECT z.session, h.h AS head, z.t, sum(qz.embedding[h.h * 16 + d.d + 1]::DOUBLE * z.embedding[(h.h // 2) * 16 + d.d + 1]) / 4 AS s FROM z JOIN y ON y.session = z.session JOIN z qz ON qz.session = y.session AND qz.t = y.t, unnest(range(0, 4)) h(h), unnest(range(0, 16)) d(d) GROUP BY ALL), w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY session, head)) AS e FROM s) SELECT session, head, d.d AS d, round(sum(e * z.embedding[32 + (head // 2) * 16 + d.d + 1]) / sum(e), 4) + 0.0 AS o FROM w JOIN z USING (session, t), unnest(range(0, 16)) d(d) GROUP BY ALL"
+_A = "WITH " + _A
+
+
+def sessions(spark, d):
+    from pyspark.sql import Window
+
+    e = read(spark, d, "embeddings").withColumn("t", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+    c = e.select(F.col("label").alias("session"), "t", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    head, dim = F.expr("i div 16"), (F.col("i") % 16).cast("long").alias("d")
+    last = c.groupBy("session").agg(F.max("t").alias("t"))
+    q = c.join(last, ["session", "t"]).select("session", F.col("t").alias("pos"), head.alias("head"), dim, "x")
+    keys = c.filter("i < 32").select("session", "t", head.alias("kv_head"), dim, "x")
+    return q, keys, c.filter("i >= 32").select("session", "t", (head - 2).alias("kv_head"), dim, "x")
+
+
+@query(_A)
+def attention_naive(spark, d):
+    return nn.attention(*sessions(spark, d), 16, 2).withColumn("o", r4(F.col("o")))
+
+
+@query(_A)
+def attention_flash(spark, d):
+    return nn.flash_attention(*sessions(spark, d), 16, 2, 16).withColumn("o", r4(F.col("o")))
+
+
+@query(f"WITH {_X} SELECT seq AS seq_id, k AS idx FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY x DESC, k) AS i FROM x WHERE NOT isnan(x)) WHERE i = 1")
+def greedy_argmax(spark, d):
+    return nn.argmax(rows(spark, d)).select(F.col("seq").alias("seq_id"), "idx")
+
+
+@query("SELECT doc_id, i - 1 AS pos, ('0x' || substr(h, 2 * i - 1, 2))::INT AS byte FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents), unnest(range(1, length(h) // 2 + 1)) t(i)")
+def byte_tokens(spark, d):
+    return T.byte_rows(read(spark, d, "documents"))
+
+
+#: A small dictionary: bytes first, then what the merges make.
+MERGES = [("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("o", "n"), ("a", "n"), ("r", "e"), ("\u0120", "the"), ("in", "g"), ("e", "n")]
+
+
+def dictionary():
+    v = {c: b for b, c in T.byte_table().items()}
+    for left, right in MERGES:
+        v.setdefault(left + right, len(v))
+    return v
+
+
+@query()
+def bpe_encode(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.encode_udf(dictionary(), MERGES)("text").alias("ids"))
+
+
+@query("SELECT doc_id, replace(replace(text, ' ', chr(288)), chr(10), chr(266)) AS text FROM documents WHERE regexp_matches(text, '^[ -~\\n]+$')")
+def detokenize(spark, d):
+    docs = read(spark, d, "documents").filter(F.col("text").rlike(r"^[ -~\n]+\z"))
+    vocab = spark.createDataFrame([(i, t) for t, i in dictionary().items()], "id int, token string")
+    tokens = docs.select("doc_id", F.posexplode(T.encode_udf(dictionary(), MERGES)("text")).alias("pos", "token_id"))
+    return T.detokenize(tokens, vocab)
+
+
+@query("SELECT conv_id, turn, list_aggregate(regexp_extract_all(role || '<|end|>' || text || '<|end|><|e', '(?s)<\\|end\\|>|<\\|e|[^<]+|<'), 'string_agg', '~') AS parts FROM conversations WHERE NOT contains(text, '<')")
+def special_split(spark, d):
+    c = read(spark, d, "conversations").filter(~F.col("text").contains("<"))
+    text = F.concat("role", F.lit("<|end|>"), "text", F.lit("<|end|><|e"))
+    return c.select("conv_id", "turn", F.array_join(T.special_split(text, ["<|e", "<|end|>"]), "~").alias("parts"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, '[INST]') OR contains(text, '<|') THEN text ELSE '[INST] ' || text || ' [/INST]' END AS prompt FROM conversations")
+def prompt_template(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.prompt_template(F.col("text")).alias("prompt"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace('[INST]  ' || text || ' [/INST]', '\\[/?INST\\]', '', 'g'), '^[ \\t\\r\\n]+', '') AS text FROM conversations")
+def strip_markers(spark, d):
+    text = F.concat(F.lit("[INST]  "), "text", F.lit(" [/INST]"))
+    return read(spark, d, "conversations").select("conv_id", "turn", T.strip_markers(text).alias("text"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(length(text)) FILTER (role = 'user')::BIGINT AS n_prompt, sum(length(text)) FILTER (role = 'assistant')::BIGINT AS n_gen, round(coalesce(sum(length(text)) FILTER (role IN ('user', 'assistant')), 0) / (count(*) * 0.5), 4) AS tok_s FROM conversations GROUP BY conv_id")
+def run_stats(spark, d):
+    """Prompt and generated units by conversation, and the rate at half a second a turn: prefill is prorated, not timed."""
+    n = lambda *r: F.sum(F.when(F.col("role").isin(*r), F.length("text")))
+    rate = F.coalesce(n("user", "assistant"), F.lit(0)) / (F.count("*") * 0.5)
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), n("user").alias("n_prompt"), n("assistant").alias("n_gen"), F.round(rate, 4).alias("tok_s"))
+
+
+def small_model(spark, d):
+    """Weights whose rows are embeddings in turn; ids below 32 are the vocabulary."""
+    x = rows(spark, d)
+    out = None
+    for i, (name, m) in enumerate({"wq": 64, "wk": 32, "wv": 32, "wo": 64, "w_gate": 128, "w_up": 128}.items()):
+        w = x.filter(f"seq >= {i * 60} and seq < {i * 60 + m}").select(F.lit(name).alias("tensor"), (F.col("seq") - i * 60).alias("r"), "k", F.col("x").alias("v"))
+        out = w if out is None else out.union(w)
+    down = x.filter("seq < 128").select(F.lit("w_down").alias("tensor"), F.expr("seq div 2").alias("r"), (F.col("k") + F.col("seq") % 2 * 64).alias("k"), F.col("x").alias("v"))
+    return out.union(down), x.filter("seq < 32").withColumnRenamed("seq", "id")
+
+
+def prompts(spark):
+    return spark.createDataFrame([(s, p, (7 * s + 3 * p) % 32) for s in range(3) for p in range(4)], "session long, pos long, token_id long")
+
+
+@query()
+def forward_one_layer(spark, d):
+    weights, table = small_model(spark, d)
+    x = prompts(spark).join(table.withColumnRenamed("id", "token_id"), "token_id").select("session", "pos", "k", "x")
+    return model.forward(weights, x).select("session", "pos", F.col("k").alias("col"), r4(F.col("x")).alias("y"))
+
+
+@query()
+def generate_k(spark, d):
+    weights, table = small_model(spark, d)
+    return model.generate(weights, table, prompts(spark), 2)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

@@ -33,7 +33,7 @@ def gemm_blocked(w: DataFrame, x: DataFrame, block: int = 64) -> DataFrame:
         import pandas as pd
 
         for f in frames:
-            for t, rb, kb, cells, vec in zip(f.tensor, f.rb, f.kb, f.cells, f.xs, strict=True):
+            for t, rb, kb, cells, vec in zip(f.tensor, f.rb, f.kb, f.cells, f["xs"], strict=True):
                 seqs = sorted({c["seq"] for c in vec})
                 at = {s: i for i, s in enumerate(seqs)}
                 a, b = np.zeros((block, block)), np.zeros((block, len(seqs)))

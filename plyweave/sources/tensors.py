@@ -54,5 +54,5 @@ def save_packed(elements: DataFrame, path: str) -> None:
 
 
 def load_packed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    kinds = "r long, n int, base_exp int, sm binary, gr binary, tensor string", "r long, k int, correct long, wrong long, tensor string"
+    kinds = "r long, n int, base_exp int, sm binary, gr binary, tensor string", "r long, k long, correct long, wrong long, tensor string"
     return tuple(spark.read.schema(k).parquet(f"{path}/{t}") for k, t in zip(kinds, ("rows", "patches"), strict=True))

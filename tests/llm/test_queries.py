@@ -1,6 +1,7 @@
 """Each query against a plain version over the same rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -239,3 +240,129 @@ def test_limits_between_blocks(spark, limit):
     lens = spark.createDataFrame([(n,) for n in (0, 1, 1023, 1024, 1024, 5000)], "length long")
     got = {r.context_limit: r.truncated_total for r in token_counts.limits(token_counts.histogram(lens)).collect()}
     assert got == {c: sum(min(n, c) for n in (0, 1, 1023, 1024, 1024, 5000)) for c in got}
+
+
+def near_groups(docs, k, percent):
+    """doc_id: (size of its set, least id reachable), by comparing all pairs."""
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.setdefault(frozenset(tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))) if w else frozenset(), []).append(i)
+    own = [s for s in sets if s]
+    up = {s: s for s in own}
+
+    def root(s):
+        while up[s] is not s:
+            s = up[s]
+        return s
+
+    for a, b in itertools.combinations(own, 2):
+        if 100 * (n := len(a & b)) >= percent * (len(a) + len(b) - n):
+            up[root(a)] = root(b)
+    least = {}
+    for s in own:
+        least[root(s)] = min([*(x for x in sets[s] if x is not None), *([least[root(s)]] if root(s) in least else [])], default=None)
+    return [(i, len(s), least[root(s)] if s else i) for s, ids in sets.items() for i in ids]
+
+
+def test_op3(spark, data):
+    want = near_groups([(r["doc_id"], r["text"]) for r in read(data, "documents")], 3, 85)
+    got = rows(spark, "op3", data)
+    assert as_bag(want) == as_bag((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_of_a_family(spark):
+    import random
+
+    from plyweave.llm import neardup
+
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 120):
+        own = list(base)
+        for _ in range(rng.choice((3, 6, 9, 12, 30))):
+            own[rng.randrange(300)] = f"x{rng.random()}"
+        docs.append((i, " ".join(own)))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert as_bag(near_groups(docs, 3, 85)) == as_bag((r.doc_id, r.n_shingles, r.component_id) for r in got)
+
+
+def test_op4(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in read(d, "labels")}
+    got = rows(spark, "op4", d)
+    assert len(got) == len(read(d, "documents")) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert sum(p == y for p, y in held) / len(held) >= 0.9
+
+
+def test_op4_odd_rows(spark, odd):
+    got = rows(spark, "op4", odd)
+    assert len(got) == len(read(odd, "documents")) and all(0 <= r["score"] <= 1 for r in got)
+
+
+def removed_by_hand(texts, span=400):
+    seen = Counter(t[p : p + span] for t in texts for p in range(len(t) - span + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - span + 1):
+            if seen[t[p : p + span]] > 1:
+                gone[p : p + span] = b"\1" * span
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_op8(spark, data):
+    docs = read(data, "documents")
+    want = [(r["doc_id"], *x) for r, x in zip(docs, removed_by_hand([(r["text"] or "").encode() for r in docs]), strict=True)]
+    assert as_bag(want) == as_bag(tuple(r.values()) for r in rows(spark, "op8", data))
+
+
+def test_op8_wide_groups(spark, data):
+    from plyweave.llm import repeats
+
+    docs = read(data, "documents")
+    got = repeats.removed(spark.read.parquet(f"{data}/documents.parquet"), wide=2).drop("kept").collect()
+    assert as_bag(removed_by_hand([(r["text"] or "").encode() for r in docs])) == as_bag(tuple(r)[1:] for r in got)
+
+
+def test_deep_shallow_sorting():
+    import os.path
+    import random
+
+    from plyweave.llm import suffixes
+
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [b"p" * rng.choice((0, 31, 32, 40)) + bytes(rng.choices(b"ab", k=rng.randint(0, 12))) for _ in range(rng.randint(0, 12))]
+        order, lcp = suffixes.deep_shallow(s)
+        assert sorted(order) == list(range(len(s))) and [s[i] for i in order] == sorted(s)
+        assert lcp[1:] == [len(os.path.commonprefix([s[a], s[b]])) for a, b in itertools.pairwise(order)]
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    at = [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at.append(stage(spark, at[-1], data))
+        assert at[-1].columns == corpus_pipeline.COLUMNS
+    texts = [[(r.doc_id, r.text) for r in df.collect()] for df in at]
+    groups = near_groups(texts[1], 5, 80)
+    keep = {i for i, n, c in groups if not n or i == c}
+    assert {i for i, _ in texts[2]} == keep
+    hits = {r["doc_id"] for r in rows(spark, "op5", data) if r["contaminated"]}
+    assert {i for i, _ in texts[3]} == {i for i, _ in texts[2]} - hits
+    assert len(texts[4]) == len(texts[3]) and not any(credentials.base_spans(t or "") for _, t in texts[4])
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    total = sum(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts[4])
+    assert sum(r.length for r in corpus_pipeline.run(spark, data).collect()) == total

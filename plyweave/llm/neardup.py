@@ -21,8 +21,8 @@ from .graph import components
 
 HASHES, BANDS, BITS = 80, 20, 4
 ROWS, LONGS = HASHES // BANDS, HASHES * BITS // 64
-#: What the estimate of a pair at the threshold may miss: six standard errors and more.
-MARGIN = 0.25
+#: What the estimate of a pair at the threshold may miss: five standard errors.
+MARGIN = 0.2
 GROUP = 1 << 20
 FEW = 400_000
 
@@ -181,11 +181,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return own.mapInArrow(make, "cid long, hashes array<long>")
 
 
+def alike(a: str, b: str, num: int) -> Column:
+    """Whether two sets reach num percent."""
+    both = F.size(F.array_intersect(a, b))
+    return both * 100 >= (F.size(a) + F.size(b) - both) * num
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     """Those pairs (a, b) whose sets reach num percent."""
     x, y = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(x, "a").join(y, "b").filter(both * 100 >= (F.size("ha") + F.size("hb") - both) * num).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(alike("ha", "hb", num)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,13 +210,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
     short = classes.select("cid", "n", *longs)
     keys = classes.select("cid", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot <> last").select("key", "pivot")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(keys.join(shared, "key"), "members")
+    # A bucket's pivot is its class with the most company: the text that the others were made from has all of theirs.
+    weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("pivot"))
+    starred = members.join(pivots, "key")
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.join(short.select(F.col("cid").alias("a"), F.struct("n", *longs).alias("x")), "a").join(short.select(F.col("cid").alias("b"), F.struct("n", *longs).alias("y")), "b")
 
-    stars = signed_pairs(members.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
+    stars = signed_pairs(starred.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
     stars = stars.filter(likely("x", "y", percent)).groupBy("a").agg(F.max_by("b", estimate("x", "y")).alias("b"))
     stars = written(stars, "stars")
     # Sets are needed of every class that has a likely partner anywhere; buckets' other members never are compared.
@@ -223,11 +232,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     lab = members.join(first.withColumnRenamed("v", "cid"), "cid", "left") if first is not None else members.withColumn("root", F.lit(None).cast("long"))
     lab = written(lab.select("key", "cid", F.coalesce("root", "cid").alias("root")), "labelled")
     split = lab.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = lab.join(split, "key").join(short, "cid")
+    rest = lab.join(split, "key").join(short, "cid").join(classes.select("cid", "bands"), "cid").join(sets, "cid")
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & likely("x", "y", percent))
-    pairs = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    more = written(confirmed(pairs, sets, percent), "more")
+    # In their first common bucket only; the full sets are read within the join, so it makes links and not candidates.
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & likely("x", "y", percent)
+    cross = x.join(y, same & once & alike("x.hashes", "y.hashes", percent))
+    more = written(cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "more")
     all_ = components(links.union(more)) if more.limit(1).count() else first
     groups = classes.select("cid", "rep")
     if all_ is not None:

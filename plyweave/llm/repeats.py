@@ -22,7 +22,7 @@ from .common import small_enough, slots, written
 from .neardup import mixed, stream
 from .suffixes import deep_shallow
 
-SPAN, GRAM, WIDE, FEW = 400, 128, 2048, 200_000
+SPAN, GRAM, WIDE, FEW = 400, 128, 2048, 20_000
 
 
 @lru_cache(4)
@@ -120,9 +120,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "h", "q", "lo", "hi"])
 
     places = written(large.select("cid", "raw").mapInArrow(find, "cid long, h long, q long, lo long, hi long"), "anchors")
-    uses = places.groupBy("h").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("q").alias("q0"), F.max("q").alias("q1"))
-    shared = uses.filter("c0 <> c1 or q0 <> q1").select("h")
-    listed = places.join(shared, "h").groupBy("cid").agg(F.collect_set(F.struct("h", "q", "lo", "hi")).alias("at"))
+    uses = places.groupBy("h").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("q").alias("q0"), F.max("q").alias("q1"), F.count("*").alias("m"))
+    shared = uses.filter("c0 <> c1 or q0 <> q1").select("h", (F.col("m") > wide).alias("big"))
+    many = bool(uses.filter(F.col("m") > wide).limit(1).count())
+    listed = places.join(shared, "h").groupBy("cid").agg(F.collect_set(F.struct("h", "q", "lo", "hi", "big")).alias("at"))
     sizes = large.groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     listed = listed.join(sizes.select("cid", "rep"), "cid")
     texts = large.select("cid", F.col("doc_id").alias("rep0"), "raw")
@@ -133,6 +134,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             out: list[tuple] = []
             for cid, raw, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for x in at:
+                    if x["big"]:
+                        continue
                     out.append((x["h"], cid, x["q"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + SPAN]))
                     if len(out) == 4000:
                         yield table(out)
@@ -146,12 +149,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return pa.record_batch([pa.array([r[i] for r in rows], pa.binary() if i == 5 else pa.int64()) for i in range(6)], names)
 
     # Each anchor once: rows of one id and text say the same.
-    around = chosen.mapInArrow(contexts, "h long, cid long, q long, lo long, hi long, ctx binary")
-    big = written(places.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > wide).select("h", F.lit(True).alias("big")), "big")
-    many = not small_enough(big, 0)
-    if many:
-        around = written(around, "contexts").join(F.broadcast(big) if small_enough(big, FEW) else big, "h", "left")
-    narrow = around.filter("big is null") if many else around
+    narrow = chosen.mapInArrow(contexts, "h long, cid long, q long, lo long, hi long, ctx binary")
 
     def decide(batches):
         held, group, out = None, {}, []
@@ -185,13 +183,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         def windows(batches):
             for b in batches:
                 parts = []
-                for _, cid, _, lo, hi, ctx in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                    w = gram_hashes(ctx, SPAN)
-                    parts.append((np.full(len(w), cid), np.arange(lo, lo + len(w)), w.view("i8")))
+                for cid, raw, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    for x in at:
+                        if x["big"]:
+                            w = gram_hashes(raw[x["lo"] : x["hi"] + SPAN], SPAN)
+                            parts.append((np.full(len(w), cid), np.arange(x["lo"], x["lo"] + len(w)), w.view("i8")))
                 if parts:
                     yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "p", "w"])
 
-        each = around.filter("big is not null").select(*names).mapInArrow(windows, "cid long, p long, w long")
+        each = chosen.mapInArrow(windows, "cid long, p long, w long")
         twice = each.groupBy("w").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("p").alias("p0"), F.max("p").alias("p1"))
         twice = twice.filter("c0 <> c1 or p0 <> p1").select("w")
         spans = spans.union(each.join(twice, "w").select("cid", F.col("p").alias("a"), (F.col("p") + SPAN).alias("b")))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .neardup import in_groups, mixed, powers, stream
 
 BUCKETS, SUBS, DIM, EACH, WIDTHS = 1 << 16, 4, 8, 4, (1, 2, 3)
-SAMPLE, EPOCHS, BATCH, CUT = 12_000, 6, 64, 0.7
+SAMPLE, EPOCHS, BATCH, CUT = 6_000, 6, 64, 0.7
 OFFSETS = [(w, k) for w in WIDTHS for k in range(w)]
 
 
@@ -137,8 +137,7 @@ def trained(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.5))
         model.scale, model.shift = 0.0, float(np.log(rate / (1 - rate)))
         return model
-    raws = [(t or "").encode() for t in texts]
-    docs = [hashed([r])[0] for r in raws]
+    docs = [hashed([(t or "").encode()])[0] for t in texts]
     turn = rng.permutation(len(y))
     held, own = turn[: max(1, len(y) // 10)], turn[max(1, len(y) // 10) :]
     if y[own].min() == y[own].max():
@@ -186,7 +185,9 @@ def trained(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int
                 for s in range(SUBS):
                     np.add.at(emb_memory[s], r[:, s], (d * d).mean(1))
                     np.add.at(model.emb[s], r[:, s], -rate * d / np.sqrt(emb_memory[s][r[:, s]])[:, None])
-    scaled(model, model.logits(model.tables(), [raws[i] for i in held]), y[held], [langs[i] for i in held])
+    tables = model.tables()
+    z = np.concatenate([model.logits(tables, raws) for raws in in_groups([texts[i] for i in held])])
+    scaled(model, z, y[held], [langs[i] for i in held])
     return model
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: White space that the pretokenizer treats as a run; texts with such runs are encoded as a whole.
 RUNS = re.compile(r"  |\s |\s\s| (?=\s)")
-CACHE = 300_000
+CACHE = 50_000
 
 
 def vocabulary(name: str) -> str:
@@ -42,7 +41,7 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _bytes(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):

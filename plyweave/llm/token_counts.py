@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import encoder, vocabulary
 
 BLOCK = 1024
@@ -24,8 +25,8 @@ def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
 
 
 def histogram(lens: DataFrame) -> DataFrame:
-    """length, n_docs."""
-    return lens.groupBy("length").agg(F.count("*").alias("n_docs"))
+    """length, n_docs; written, as limits reads it twice and the texts should be encoded once."""
+    return written(lens.groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def limits(hist: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 DEPTH = 3
 
@@ -55,7 +55,8 @@ def segments() -> list[Column]:
 def template_tree(groups: DataFrame, max_children: int = 24, z: float = 2.0) -> DataFrame:
     """host, s0.., template: the tree's leaf for each kind of path.
 
-    groups: host, s0.., n, lab (labelled rows), bad (of them rejected). From the root down, a node with more than
+    groups: host, s0.., n, lab (labelled rows), bad (of them rejected), read at every level. Levels are written, as a
+    plan of all of them would hold the first ones many times over. From the root down, a node with more than
     max_children different segments gets one wildcard child; else children whose share of rejected rows is within z
     standard errors of all children's are merged, and the others stay apart.
     """
@@ -74,7 +75,7 @@ def template_tree(groups: DataFrame, max_children: int = 24, z: float = 2.0) ->
             .otherwise(F.concat(F.lit("/"), F.col(f"s{i}")))
         )
         named = own.join(node, ["host", "template"]).select("host", "template", f"s{i}", token.alias("token"))
-        tree = tree.join(named, ["host", "template", f"s{i}"]).withColumn("template", F.concat("template", "token")).drop("token")
+        tree = written(tree.join(named, ["host", "template", f"s{i}"]).withColumn("template", F.concat("template", "token")).drop("token"), f"level{i}")
     return tree
 
 
@@ -92,6 +93,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], strength: fl
     groups = seen.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count("said").alias("lab"), F.sum((F.coalesce("said", F.lit("")) == "block").cast("long")).alias("bad")
     )
+    groups = written(groups, "groups")  # a row for each kind of path, from one pass over the pages
     tree = template_tree(groups, max_children)
     leaf = tree.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     hosts = leaf.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
@@ -99,6 +101,6 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], strength: fl
     host = hosts.select("host", ((F.col("h_bad") + strength * base) / (F.col("h_lab") + strength)).alias("prior"))
     purity = (F.col("bad") + strength * F.col("prior")) / (F.col("lab") + strength)
     judged = leaf.join(host, "host").select("host", "template", purity.alias("purity"))
-    by_kind = tree.join(judged, ["host", "template"]).select(*keys, "template", "purity")
+    by_kind = written(tree.join(judged, ["host", "template"]).select(*keys, "template", "purity"), "kinds")
     verdict = F.coalesce("said", F.when(F.col("purity") >= reject_at, "block").otherwise("allow"))
     return seen.join(by_kind, keys).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

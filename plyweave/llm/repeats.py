@@ -5,7 +5,8 @@ windows of equal content have anchors at the same place in them. Anchors whose g
 group of equal grams the right contexts and the reversed left contexts are sorted (suffixes.deep_shallow); two windows
 at distance d before their anchors are equal if their anchors share d bytes to the left and SPAN - d to the right. The
 classes of the two orders change at few depths only, so each group is decided by a few sweeps. Groups of more than
-WIDE anchors are decided window by window instead, by counts of window hashes, which need no group in one task.
+WIDE anchors are decided by counts instead, which need no group in one task: contexts found twice are repeated as a
+whole, and one of each kind has its windows' hashes counted.
 """
 
 from __future__ import annotations
@@ -180,21 +181,34 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spans = dealt.mapInArrow(decide, "cid long, a long, b long")
     if many:
 
-        def windows(batches):
+        def wide_contexts(batches):
             for b in batches:
-                parts = []
+                out = []
                 for cid, raw, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     for x in at:
                         if x["big"]:
-                            w = gram_hashes(raw[x["lo"] : x["hi"] + SPAN], SPAN)
-                            parts.append((np.full(len(w), cid), np.arange(x["lo"], x["lo"] + len(w)), w.view("i8")))
+                            ctx = raw[x["lo"] : x["hi"] + SPAN]
+                            out.append((int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little", signed=True), cid, x["lo"], x["hi"], ctx))
+                yield pa.record_batch([pa.array([r[i] for r in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], ["x", "cid", "lo", "hi", "ctx"])
+
+        def windows(batches):
+            for b in batches:
+                parts = []
+                for cid, lo, ctx, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    w = gram_hashes(ctx, SPAN)
+                    parts.append((np.full(len(w), cid), np.arange(lo, lo + len(w)), w.view("i8"), np.full(len(w), n)))
                 if parts:
-                    yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "p", "w"])
+                    yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "p", "w", "n"])
 
-        each = chosen.mapInArrow(windows, "cid long, p long, w long")
+        # A context found twice is repeated as a whole; one of each is compared with the others window by window.
+        wide_ = written(chosen.mapInArrow(wide_contexts, "x long, cid long, lo long, hi long, ctx binary"), "wide")
+        kinds = written(wide_.groupBy("x").agg(F.min(F.struct("cid", "lo")).alias("one"), F.first("ctx").alias("ctx"), F.count("*").alias("n")), "kinds")
+        again = wide_.select("x", "cid", "lo", "hi").join(kinds.filter("n > 1").select("x"), "x").select("cid", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
+        each = kinds.select("one.cid", "one.lo", "ctx", "n").mapInArrow(windows, "cid long, p long, w long, n long")
         twice = each.groupBy("w").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("p").alias("p0"), F.max("p").alias("p1"))
         twice = twice.filter("c0 <> c1 or p0 <> p1").select("w")
-        spans = spans.union(each.join(twice, "w").select("cid", F.col("p").alias("a"), (F.col("p") + SPAN).alias("b")))
+        single = each.filter("n = 1").join(twice, "w").select("cid", F.col("p").alias("a"), (F.col("p") + SPAN).alias("b"))
+        spans = spans.union(again).union(single)
     by_text = spans.groupBy("cid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     info = by_text.join(sizes.filter("copies > 1").select("cid", "copies"), "cid", "full")
     info = written(info.select("cid", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")

@@ -4,9 +4,13 @@ An anchor is the least GRAM-byte hash among the starts inside a window of SPAN b
 windows of equal content have anchors at the same place in them. Anchors whose gram occurs once are dropped. In each
 group of equal grams the right contexts and the reversed left contexts are sorted (suffixes.deep_shallow); two windows
 at distance d before their anchors are equal if their anchors share d bytes to the left and SPAN - d to the right. The
-classes of the two orders change at few depths only, so each group is decided by a few sweeps. Groups of more than
-WIDE anchors are decided by counts instead, which need no group in one task: contexts found twice are repeated as a
-whole, and one of each kind has its windows' hashes counted.
+classes of the two orders change at few depths only, so each group is decided by a few sweeps.
+
+Contexts that are equal as a whole are one kind, by their hashes: a kind found twice is repeated throughout, and only
+one context of each kind is sorted, in groups where a kind occurs once. Groups of more than WIDE kinds are decided
+without bringing them together: the windows of each context are cut into cells of WIDTHS starts, by their distance to
+the anchor. A cell whose bytes occur twice is repeated as a whole, one whose common bytes occur once is not repeated at
+all, and the others are cut into smaller cells, down to single windows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from .neardup import mixed, stream
 from .suffixes import deep_shallow
 
 SPAN, GRAM, WIDE, FEW = 400, 128, 2048, 20_000
+#: Starts in a cell, from level to level.
+WIDTHS = (64, 16, 4, 1)
 
 
 @lru_cache(4)
@@ -33,18 +39,25 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return make(base), make(inverse)
 
 
-def gram_hashes(raw: bytes, size: int) -> np.ndarray:
-    """Of every substring of that size."""
+def prefix_sums(raw: bytes) -> np.ndarray:
     x = np.frombuffer(raw, "u1")
-    up, down = powers(max(12, len(x).bit_length()))
+    up, _ = powers(max(12, len(x).bit_length()))
     sums = np.zeros(len(x) + 1, "u8")
     np.cumsum(stream(11, 256)[x] * up[: len(x)], out=sums[1:])
-    return mixed((sums[size:] - sums[:-size]) * down[: len(x) - size + 1])
+    return sums
+
+
+def hashes(sums: np.ndarray, start, end) -> np.ndarray:
+    """Of the substrings from start to end."""
+    _, down = powers(max(12, (len(sums) - 1).bit_length()))
+    return mixed((sums[end] - sums[start]) * down[start])
 
 
 def anchors(raw: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """h, q, lo, hi: each anchor's hash and place, and the first and last start of the windows that are its own."""
-    h = gram_hashes(raw, gram)
+    """h, x, q, lo, hi: each anchor's hash, its context's, its place, and the first and last start of its own windows."""
+    sums = prefix_sums(raw)
+    starts = np.arange(len(raw) - gram + 1)
+    h = hashes(sums, starts, starts + gram)
     wide = span - gram + 1
     bits = np.uint64(len(h).bit_length())
     keys = (h >> bits << bits) | np.arange(len(h), dtype="u8")
@@ -55,7 +68,31 @@ def anchors(raw: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray,
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))).astype("i8")
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return h[at[first]].view("i8"), at[first], first, np.append(first[1:], n) - 1
+    last = np.append(first[1:], n) - 1
+    return h[at[first]].view("i8"), hashes(sums, first, last + span).view("i8"), at[first], first, last
+
+
+def first_of_kind(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 where (h, x) occurs for the first time."""
+    out = np.zeros(len(h), "i8")
+    order = np.lexsort((np.arange(len(h)), x, h))
+    out[order] = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(x[order]) != 0)])
+    return out
+
+
+def cells(ctx: bytes, q: int, lo: int, hi: int, width: int, parents: list[int] | None) -> tuple[np.ndarray, ...]:
+    """j, core, whole, a, b of the cells of a context: the starts from a to b are those at a distance of j to j + 1
+    widths before the anchor; core is the hash of what all windows of a full cell share, whole that of all their bytes.
+    parents: the cells of four such widths that are looked into, all if None."""
+    j = np.arange((q - hi) // width, (q - lo) // width + 1)
+    if parents is not None:
+        j = j[np.isin(j // 4, parents)]
+    sums = prefix_sums(ctx)
+    top = q - width * j
+    a, b = np.maximum(top - width + 1, lo), np.minimum(top, hi)
+    core = hashes(sums, top - lo, top - lo - width + 1 + SPAN)
+    whole = hashes(sums, a - lo, b - lo + SPAN) + (q - a).astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+    return j, core.view("i8"), whole.view("i8"), a, b
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -101,6 +138,33 @@ def pair_windows(x, y, span: int = SPAN) -> list[list[tuple[int, int]]]:
     return out
 
 
+def in_cells(contexts: DataFrame) -> list[DataFrame]:
+    """cid, a, b of what is repeated within groups of contexts (h, cid, q, lo, hi, ctx), level by level."""
+    found, looked = [], contexts.withColumn("parents", F.lit(None).cast("array<long>"))
+    for width in WIDTHS:
+
+        def split(batches, width=width):
+            for batch in batches:
+                parts = []
+                for h, cid, q, lo, hi, ctx, parents in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                    j, *rest = cells(ctx, q, lo, hi, width, parents)
+                    parts.append([np.full(len(j), h), np.full(len(j), cid), np.full(len(j), q), j, *rest])
+                if parts:
+                    yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["h", "cid", "q", "j", "core", "whole", "a", "b"])
+
+        level = written(looked.mapInArrow(split, "h long, cid long, q long, j long, core long, whole long, a long, b long"), "cells")
+        same = ["h", "j", "core", "whole"]
+        counts = level.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("cid", "q")).alias("one"))
+        counts = written(counts, "counts")
+        found.append(level.join(counts.filter("n > 1").select(*same), same).select("cid", "a", (F.col("b") + SPAN).alias("b")))
+        open_ = counts.groupBy(*same[:3]).agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select(*same[:3])
+        if width == 1 or small_enough(open_, 0):
+            break
+        next_ = counts.join(open_, same[:3]).select("one.cid", "one.q", "j").groupBy("cid", "q").agg(F.collect_list("j").alias("parents"))
+        looked = contexts.join(next_, ["cid", "q"]).select("h", "cid", "q", "lo", "hi", "ctx", "parents")
+    return found
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
     """doc_id, text, spans (array of start, end in bytes): what to remove from every row of docs.
 
@@ -116,41 +180,46 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             parts = []
             for cid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 a = anchors(raw)
-                parts.append([np.full(len(a[0]), cid), *a])
+                parts.append([np.full(len(a[0]), cid), *a, first_of_kind(*a[:2])])
             if parts:
-                yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "h", "q", "lo", "hi"])
-
-    places = written(large.select("cid", "raw").mapInArrow(find, "cid long, h long, q long, lo long, hi long"), "anchors")
-    uses = places.groupBy("h").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("q").alias("q0"), F.max("q").alias("q1"), F.count("*").alias("m"))
-    shared = uses.filter("c0 <> c1 or q0 <> q1").select("h", (F.col("m") > wide).alias("big"))
-    many = bool(uses.filter(F.col("m") > wide).limit(1).count())
-    listed = places.join(shared, "h").groupBy("cid").agg(F.collect_set(F.struct("h", "q", "lo", "hi", "big")).alias("at"))
+                yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "h", "x", "q", "lo", "hi", "first"])
+
+    places = written(large.select("cid", "raw").mapInArrow(find, "cid long, h long, x long, q long, lo long, hi long, first long"), "anchors")
+    uses = places.groupBy("h").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("q").alias("q0"), F.max("q").alias("q1"))
+    shared = written(places.join(uses.filter("c0 <> c1 or q0 <> q1").select("h"), "h"), "shared")
+    kinds = shared.groupBy("h", "x").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("first").alias("f0"))
+    kinds = written(kinds.select("h", "x", F.col("c0").alias("cid"), F.expr("c0 <> c1 or f0 = 0").alias("twice")), "kinds")
+    whole = shared.join(kinds.filter("twice").select("h", "x"), ["h", "x"]).select("cid", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
+    # One context of each kind is compared with the other kinds of its group, where any of them occurs once.
+    groups = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("twice").alias("all_twice")).filter("m > 1 and not all_twice")
+    groups = written(groups.select("h", (F.col("m") > wide).alias("big")), "groups")
+    many = bool(groups.filter("big").limit(1).count())
+    compared = shared.filter("first = 1").join(kinds.select("h", "x", "cid").join(groups, "h"), ["h", "x", "cid"])
+    listed = compared.groupBy("cid").agg(F.collect_set(F.struct("h", "q", "lo", "hi", "big")).alias("at"))
     sizes = large.groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     listed = listed.join(sizes.select("cid", "rep"), "cid")
     texts = large.select("cid", F.col("doc_id").alias("rep0"), "raw")
     chosen = texts.join(listed, "cid").filter(F.col("rep").eqNullSafe(F.col("rep0"))).select("cid", "raw", "at")
+    names = ["h", "cid", "q", "lo", "hi", "ctx", "big"]
 
     def contexts(batches):
+        def table(rows):
+            kinds_ = {5: pa.binary(), 6: pa.bool_()}
+            return pa.record_batch([pa.array([r[i] for r in rows], kinds_.get(i, pa.int64())) for i in range(7)], names)
+
         for b in batches:
             out: list[tuple] = []
             for cid, raw, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for x in at:
-                    if x["big"]:
-                        continue
-                    out.append((x["h"], cid, x["q"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + SPAN]))
+                for x in sorted(at, key=lambda x: x["q"]):
+                    out.append((x["h"], cid, x["q"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + SPAN], x["big"]))
                     if len(out) == 4000:
                         yield table(out)
                         out = []
             if out:
                 yield table(out)
 
-    names = ["h", "cid", "q", "lo", "hi", "ctx"]
-
-    def table(rows):
-        return pa.record_batch([pa.array([r[i] for r in rows], pa.binary() if i == 5 else pa.int64()) for i in range(6)], names)
-
     # Each anchor once: rows of one id and text say the same.
-    narrow = chosen.mapInArrow(contexts, "h long, cid long, q long, lo long, hi long, ctx binary")
+    cut = written(chosen.mapInArrow(contexts, "h long, cid long, q long, lo long, hi long, ctx binary, big boolean"), "contexts")
 
     def decide(batches):
         held, group, out = None, {}, []
@@ -177,38 +246,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         close()
         yield flush()
 
-    dealt = narrow.select(*names).repartition(slots(docs.sparkSession), "h").sortWithinPartitions("h")
-    spans = dealt.mapInArrow(decide, "cid long, a long, b long")
+    dealt = cut.filter("not big").select(*names[:6]).repartition(slots(docs.sparkSession), "h").sortWithinPartitions("h")
+    spans = whole.union(dealt.mapInArrow(decide, "cid long, a long, b long"))
     if many:
-
-        def wide_contexts(batches):
-            for b in batches:
-                out = []
-                for cid, raw, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    for x in at:
-                        if x["big"]:
-                            ctx = raw[x["lo"] : x["hi"] + SPAN]
-                            out.append((int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little", signed=True), cid, x["lo"], x["hi"], ctx))
-                yield pa.record_batch([pa.array([r[i] for r in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], ["x", "cid", "lo", "hi", "ctx"])
-
-        def windows(batches):
-            for b in batches:
-                parts = []
-                for cid, lo, ctx, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    w = gram_hashes(ctx, SPAN)
-                    parts.append((np.full(len(w), cid), np.arange(lo, lo + len(w)), w.view("i8"), np.full(len(w), n)))
-                if parts:
-                    yield pa.record_batch([pa.array(np.concatenate(c).astype("i8")) for c in zip(*parts, strict=True)], ["cid", "p", "w", "n"])
-
-        # A context found twice is repeated as a whole; one of each is compared with the others window by window.
-        wide_ = written(chosen.mapInArrow(wide_contexts, "x long, cid long, lo long, hi long, ctx binary"), "wide")
-        kinds = written(wide_.groupBy("x").agg(F.min(F.struct("cid", "lo")).alias("one"), F.first("ctx").alias("ctx"), F.count("*").alias("n")), "kinds")
-        again = wide_.select("x", "cid", "lo", "hi").join(kinds.filter("n > 1").select("x"), "x").select("cid", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
-        each = kinds.select("one.cid", "one.lo", "ctx", "n").mapInArrow(windows, "cid long, p long, w long, n long")
-        twice = each.groupBy("w").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("p").alias("p0"), F.max("p").alias("p1"))
-        twice = twice.filter("c0 <> c1 or p0 <> p1").select("w")
-        single = each.filter("n = 1").join(twice, "w").select("cid", F.col("p").alias("a"), (F.col("p") + SPAN).alias("b"))
-        spans = spans.union(again).union(single)
+        for part in in_cells(cut.filter("big").select(*names[:6])):
+            spans = spans.union(part)
     by_text = spans.groupBy("cid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     info = by_text.join(sizes.filter("copies > 1").select("cid", "copies"), "cid", "full")
     info = written(info.select("cid", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")

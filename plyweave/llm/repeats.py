@@ -27,7 +27,7 @@ from .common import small_enough, slots, written
 from .neardup import mixed, stream
 from .suffixes import deep_shallow
 
-SPAN, GRAM, WIDE, FEW = 400, 128, 2048, 20_000
+SPAN, GRAM, WIDE = 400, 128, 2048
 #: Starts in a cell, from level to level.
 WIDTHS = (64, 16, 4, 1)
 
@@ -186,7 +186,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     places = written(large.select("cid", "raw").mapInArrow(find, "cid long, h long, x long, q long, lo long, hi long, first long"), "anchors")
     uses = places.groupBy("h").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("q").alias("q0"), F.max("q").alias("q1"))
-    shared = written(places.join(uses.filter("c0 <> c1 or q0 <> q1").select("h"), "h"), "shared")
+    # Written, so that the join deals out a gram of very many anchors to several tasks.
+    grams = written(uses.filter("c0 <> c1 or q0 <> q1").select("h"), "grams")
+    shared = written(places.join(grams, "h"), "shared")
     kinds = shared.groupBy("h", "x").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("first").alias("f0"))
     kinds = written(kinds.select("h", "x", F.col("c0").alias("cid"), F.expr("c0 <> c1 or f0 = 0").alias("twice")), "kinds")
     whole = shared.join(kinds.filter("twice").select("h", "x"), ["h", "x"]).select("cid", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
@@ -254,7 +256,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     by_text = spans.groupBy("cid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     info = by_text.join(sizes.filter("copies > 1").select("cid", "copies"), "cid", "full")
     info = written(info.select("cid", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")
-    out = own.join(F.broadcast(info) if small_enough(info, FEW) else info, "cid", "left")
+    out = own.join(info, "cid", "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("raw").cast("long").alias("b")))
     return out.select("doc_id", "raw", F.when(F.col("copies") > 1, everything).otherwise(F.col("spans")).alias("spans"))
 

@@ -76,14 +76,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # Where a document may hold a window: (doc, start of the window from 1, its length).
     long_ = wins.filter(F.col("len") == WINDOW).select(F.split("win", " ").alias("ws"))
     test = written(_hashes(long_).select(F.explode_outer(F.array_distinct("g")).alias("gram")).distinct(), "grams")
-    low = own.select("doc_id", "th", words(F.lower("text")).alias("ws"))
+    low = own.select("doc_id", "th", words(ascii_lower(F.col("text"))).alias("ws"))
     hits = None
     if small_enough(test, 0) is False:
         found = fingerprints(low).select("doc_id", "th", F.explode_outer("fp").alias("gram"))
         hits = _near(found, test, ["gram"]).select("doc_id", "th").distinct()
     short = wins.filter(F.col("len") < WINDOW).select("len", "win", F.split("win", " ").alias("ws"))
     if small_enough(short, 0) is False:
-        longest = F.array_max(F.transform("ws", lambda w, i: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))
+        longest = F.array_max(F.transform("ws", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"))))
         anchors = short.select(longest["w"].alias("w")).distinct()
         each = low.select("doc_id", "th", F.explode_outer(F.array_distinct("ws")).alias("w"))
         few = _near(each, anchors, ["w"]).select("doc_id", "th").distinct()

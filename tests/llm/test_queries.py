@@ -118,6 +118,16 @@ def test_winnowing_guarantee(spark):
     assert {r.n_hit for r in decontam.contamination(docs, items).collect()} == {13}
 
 
+def test_windows_with_other_capitals(spark):
+    """Only A-Z are lower-cased, on both sides: É, Ñ, Я and Σ (whose small form depends on what follows) stay as they are."""
+    items = [f"u{i} v w x y z É{i} Ñs t o Яp k{i} end" for i in range(20)] + ["ΑΣ", "Élan VITAL"]
+    texts = [f"a{i} b{i} {t.replace(' w ', ' W ')} c{i}" for i, t in enumerate(items[:20])] + ["x ΑΣ'Α y", "so élan vital", "so Élan vital"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {i: (13, [str(i)]) for i in range(20)} | {20: (1, ["20"]), 21: (0, []), 22: (2, ["21"])}
+
+
 def test_op6(spark, data):
     from tokenizers import Tokenizer
 

@@ -3,13 +3,15 @@
 A word's embedding is the sum of four hashed ones: two of the whole word (so that a collision of one alone tells
 little) and one each of its first five and four bytes, for languages that inflect. Filters of WIDTHS words run over
 them, each is pooled by its maximum over the whole text, and a logistic layer joins them. It is trained on at most
-SAMPLE labelled rows, and its output scaled so that a score of CUT is the best threshold of a set-aside part; there is
-also a threshold for each language, which never enters the score.
+SAMPLE labelled rows, and its output scaled so that a score of CUT is the best threshold of a set-aside part. Each
+language's threshold, which never enters the score, is set on all labelled rows outside the held-out fold, by counts of
+their scores from models that haven't seen them.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,12 @@ from .neardup import in_groups, mixed, powers, stream
 
 BUCKETS, SUBS, DIM, EACH, WIDTHS = 1 << 16, 4, 8, 4, (1, 2, 3)
 SAMPLE, EPOCHS, BATCH, CUT = 6_000, 6, 64, 0.7
+#: Rows of either label that a language's own threshold needs, and bins of one logit.
+ENOUGH, BINS = 20, 64
+#: Models that score the sample's rows for the thresholds, each trained without the rows that it scores.
+PARTS = 4
+#: Labels up to which they are broadcast, in rows of an id and two flags.
+FEW = 400_000
 OFFSETS = [(w, k) for w in WIDTHS for k in range(w)]
 
 
@@ -130,8 +138,8 @@ def started(model: Model, docs: list[np.ndarray], y: np.ndarray) -> None:
             model.filters[2:SUBS, j * EACH + 2] += 1.0
 
 
-def trained(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int = 7) -> Model:
-    """A model of those rows: nine tenths train it, the rest set its scale and thresholds."""
+def trained(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
+    """A model of those rows: nine tenths train it, the rest set its scale."""
     model, rng = Model(seed), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.5))
@@ -187,7 +195,7 @@ def trained(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int
                     np.add.at(model.emb[s], r[:, s], -rate * d / np.sqrt(emb_memory[s][r[:, s]])[:, None])
     tables = model.tables()
     z = np.concatenate([model.logits(tables, raws) for raws in in_groups([texts[i] for i in held])])
-    scaled(model, z, y[held], [langs[i] for i in held])
+    scaled(model, z, y[held])
     return model
 
 
@@ -200,15 +208,59 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order[k]] + (z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1)) / 2)
 
 
-def scaled(model: Model, z: np.ndarray, y: np.ndarray, langs: list[str | None]) -> None:
-    """The best cut becomes the score CUT; languages with 20 rows of either label get a cut of their own."""
+def scaled(model: Model, z: np.ndarray, y: np.ndarray) -> None:
+    """The best cut becomes the score CUT."""
     cut = best_cut(z, y) if y.any() else float(z.max()) + 1
     model.shift = float(np.log(CUT / (1 - CUT)) - model.scale * cut)
-    names = np.array([x or "" for x in langs])
-    for name in set(names):
-        own = names == name
-        if min(y[own].sum(), (1 - y[own]).sum()) >= 20:
-            model.by_lang[str(name)] = float(model.scores(np.array([best_cut(z[own], y[own])]))[0])
+
+
+def bins(model: Model, logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(model.scale * logits + model.shift, -30, 30) * BINS).astype("i4")
+
+
+def crossed(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """Each row's bin by a model of the other PARTS - 1 parts of the rows, scaled so that the best cut of its own part is CUT."""
+    out, part = np.zeros(len(y), "i4"), np.arange(len(y)) % PARTS
+    for k in range(PARTS):
+        own = np.flatnonzero(part == k)
+        model = trained([t for t, p in zip(texts, part, strict=True) if p != k], y[part != k])
+        tables = model.tables()
+        z = np.concatenate([model.logits(tables, raws) for raws in in_groups([texts[i] for i in own])])
+        scaled(model, z, y[own])
+        out[own] = bins(model, z)
+    return out
+
+
+def counted_bins(rows: DataFrame, model: Model) -> DataFrame:
+    """lang, toxic, bin, n: how many of rows (text, lang, toxic) have a score in that bin."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def binned(batches):
+        m = held.value
+        tables = m.tables()
+        for b in batches:
+            z = [m.logits(tables, raws) for raws in in_groups(b.column("text").to_pylist())]
+            if z:
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("toxic"), pa.array(bins(m, np.concatenate(z)))], names=["lang", "toxic", "bin"])
+
+    own = rows.select("text", F.coalesce("lang", F.lit("")).alias("lang"), (F.col("toxic") > 0).alias("toxic"))
+    return own.mapInArrow(binned, "lang string, toxic boolean, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n"))
+
+
+def histogram_cut(pos: Counter, neg: Counter) -> float:
+    """As best_cut, of counts by bin: the logit between the last bin above it and the first below."""
+    at = np.array(sorted({*pos, *neg}, reverse=True))
+    hits, n = np.cumsum([pos[b] for b in at]), np.cumsum([pos[b] + neg[b] for b in at])
+    k = int((2 * hits / (n + max(1, hits[-1]))).argmax())
+    return float((at[k] + (at[k + 1] + 1 if k + 1 < len(at) else at[k])) / 2 / BINS)
+
+
+def thresholds(counts) -> dict[str, float]:
+    """Scores from (lang, toxic, bin, n); languages with fewer than ENOUGH rows of either label have none."""
+    by: dict[str, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    for lang, toxic, b, n in counts:
+        by[lang][bool(toxic)][b] += n
+    return {lang: float(1 / (1 + np.exp(-histogram_cut(pos, neg)))) for lang, (neg, pos) in by.items() if min(pos.total(), neg.total()) >= ENOUGH}
 
 
 def fold(doc_id):
@@ -218,15 +270,26 @@ def fold(doc_id):
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on a sample of the rows labelled outside the held-out fold: at most some `sample` of them, chosen by hash of
-    the id (all, if there are no more). Rows without a label or text are left out; of an id's labels the highest counts."""
+    the id (all, if there are no more). Rows without a label or text are left out; of an id's labels the highest counts.
+    The languages' thresholds are set on the sample (by models of its other parts) and all the other such rows (by the model)."""
     own = labels.filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 1)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = own.count()
-    if n > sample:
-        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    rows = docs.select("doc_id", "text", "lang").filter("text is not null").join(F.broadcast(own), "doc_id")  # the sample
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n) if n > sample else F.lit(True)
+    texts = docs.select("doc_id", "text", "lang").filter("text is not null")
+    rows = texts.join(F.broadcast(own.filter(drawn)), "doc_id")  # the sample
     got = sorted(rows.toPandas().drop_duplicates("doc_id").itertuples(index=False), key=lambda r: zlib.crc32(str(r.doc_id).encode()))
-    return trained([r.text for r in got], np.array([float(r.toxic > 0) for r in got]), [r.lang for r in got])
+    y = np.array([float(r.toxic > 0) for r in got])
+    model = trained([r.text for r in got], y)
+    counts = []
+    if min(y.sum(), (1 - y).sum()) >= ENOUGH:
+        counts += [(r.lang or "", t, int(b), 1) for r, t, b in zip(got, y, crossed([r.text for r in got], y), strict=True)]
+    if n > sample:
+        rest = own.filter(~drawn)
+        found = counted_bins(texts.filter(fold(F.col("doc_id")) != 1).join(F.broadcast(rest) if n <= FEW else rest, "doc_id"), model)
+        counts += [tuple(r) for r in found.collect()]  # at most 60 * BINS for each language and label
+    model.by_lang = thresholds(counts)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

@@ -314,6 +314,42 @@ def test_op4_odd_rows(spark, odd):
     assert len(got) == len(read(odd, "documents")) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_every_language_gets_its_threshold(spark):
+    """From all labelled rows outside the fold, in the sample or not: 40 toxic de rows are enough, 10 fr ones aren't."""
+    from plyweave.llm import toxicity
+
+    kept = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    plan = [(lang, j % 10 == 0) for lang, n in (("en", 800), ("de", 400), ("fr", 100)) for j in range(n)]
+    rows = [(i, f"{lang} word{i % 97} other{i % 31} " + ("vile " + lang if bad else "fine"), lang, int(bad)) for i, (lang, bad) in zip(kept, plan, strict=False)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    for sample in (6000, 600):
+        model = toxicity.fitted(docs, labels, sample)
+        assert set(model.by_lang) == {"en", "de"}
+        got = toxicity.scored(docs, model).collect()
+        assert sum(r.flagged == bool(t[3]) for r, t in zip(sorted(got, key=lambda r: r.doc_id), rows, strict=True)) >= 0.98 * len(rows)
+    model.by_lang = {}
+    counts = toxicity.counted_bins(docs.join(labels, "doc_id"), model).collect()
+    assert Counter({k: sum(r.n for r in counts if (r.lang, r.toxic) == k) for k in {(r.lang, r.toxic) for r in counts}}) == Counter((r[2], r[3] > 0) for r in rows)
+
+
+def test_cut_of_counts():
+    import random
+
+    import numpy as np
+
+    from plyweave.llm import toxicity
+
+    rng = random.Random(4)
+    for _ in range(200):
+        pos, neg = (Counter(rng.randint(-9, 9) + up for _ in range(rng.randint(1, 30))) for up in (4, 0))
+        cut = toxicity.histogram_cut(pos, neg) * toxicity.BINS
+        f1 = lambda c: 2 * (tp := sum(n for b, n in pos.items() if b >= c)) / (tp + sum(n for b, n in neg.items() if b >= c) + pos.total())
+        assert math.isclose(f1(cut), max(f1(c) for c in [*pos, *neg]))
+    z = np.array([5.0, 4, 3, 2, 1])
+    assert toxicity.histogram_cut(Counter({320: 1, 256: 1}), Counter({192: 1, 128: 1, 64: 1})) - toxicity.best_cut(z, np.array([1, 1, 0, 0, 0])) < 1 / toxicity.BINS
+
+
 def removed_by_hand(texts, span=400):
     seen = Counter(t[p : p + span] for t in texts for p in range(len(t) - span + 1))
     out = []

@@ -59,6 +59,13 @@ def detokenize(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.array_join(pieces, "").alias("text"))
 
 
+def joined(ids: Column, vocab: dict[str, int]) -> Column:
+    """The text of an array of ids, whose pieces are joined in place: rows without ids have an empty one."""
+    by_id = {i: t for t, i in vocab.items()}
+    pieces = F.array(*(F.lit(by_id.get(i)) for i in range(max(by_id) + 1)))
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+
+
 def special_split(text: Column, specials: list[str]) -> Column:
     """The text's parts in order: special tokens (the longest that fits first) and what is between them."""
     either = "|".join(re.escape(s) for s in sorted(specials, key=lambda s: (-len(s), s)))

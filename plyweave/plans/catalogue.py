@@ -398,10 +398,18 @@ def detokenize(spark, d):
     return T.detokenize(tokens, vocab)
 
 
+@query()
+def detokenize_all(spark, d):
+    """Every document; detokenize has the printable ASCII ones, for which a replacement in SQL can stand for the byte map."""
+    ids = T.encode_udf(dictionary(), MERGES)("text")
+    return read(spark, d, "documents").select("doc_id", T.joined(ids, dictionary()).alias("text"))
+
+
 @query("SELECT conv_id, turn, list_aggregate(regexp_extract_all(role || '<|end|>' || text || '<|end|><|e', '(?s)<\\|end\\|>|<\\|e|[^<]+|<'), 'string_agg', '~') AS parts FROM conversations WHERE NOT contains(text, '<')")
 def special_split(spark, d):
-    c = read(spark, d, "conversations").filter(~F.col("text").contains("<"))
-    text = F.concat("role", F.lit("<|end|>"), "text", F.lit("<|end|><|e"))
+    """Every turn; the SQL has only those with a text that holds no '<', which is all of sf0.1."""
+    c = read(spark, d, "conversations")
+    text = F.concat(F.coalesce("role", F.lit("")), F.lit("<|end|>"), F.coalesce("text", F.lit("")), F.lit("<|end|><|e"))
     return c.select("conv_id", "turn", F.array_join(T.special_split(text, ["<|e", "<|end|>"]), "~").alias("parts"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,50 @@ def scratch(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{scratch(spark)}/plyweave/{uuid.uuid4().hex}/{tag}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read again: later stages neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/plyweave/{uuid.uuid4().hex}/{tag}"
+    path = fresh(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.plyweave_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
+    """Deletes written tables (or folders) that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        if path := t if isinstance(t, str) else getattr(t, "plyweave_path", None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(docs: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """docs, once the session passes whole texts to Python workers in batches of at most so many bytes. The setting stays, as
+    plans are run after the call; one that the session has already is kept."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(most))
+    return docs
+
+
+def portions(batches, column: int = 0, most: int = 4 << 20):
+    """The batches in slices of at most so many bytes of text (one row at least), so that no slice's work is large."""
+    for b in batches:
+        text = b.column(column)
+        sizes = np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False).astype("f8"))
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < b.num_rows:
+            base = ends[at - 1] if at else 0.0
+            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, portions, written
 from .tokens import encoder, vocabulary
 
 BLOCK = 1024
@@ -18,10 +18,10 @@ def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
 
     def count(batches):
         encode = encoder(path)
-        for b in batches:
-            yield pa.record_batch([pa.array([len(encode(t)) // 4 if t else 0 for t in b.column(0).to_pylist()], pa.int64())], ["length"])
+        for b in portions(batches):
+            yield pa.record_batch([pa.array(encode.counts(b.column(0)), pa.int64())], ["length"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "length long")
+    return bounded(docs).select(F.col(text_col).alias("text")).mapInArrow(count, "length long")
 
 
 def histogram(lens: DataFrame) -> DataFrame:
@@ -60,3 +60,24 @@ def limits(hist: DataFrame) -> DataFrame:
         (tokens + F.col("length") * (F.col("all_docs") - within)).alias("truncated_total"),
         F.round(within / F.col("all_docs"), 9).alias("quantile"),
     )
+
+
+def at_limits(hist: DataFrame, wanted: list[int]) -> DataFrame:
+    """context_limit, docs_within, docs_over, tokens_within, truncated_total for any limits, whether a document has that
+    length or not: one pass over the histogram for each row of the result. An empty histogram gives zeros."""
+    asked = F.broadcast(hist.sparkSession.createDataFrame([(int(c),) for c in wanted], "context_limit long"))
+    fits = F.col("length") <= F.col("context_limit")
+    tokens = F.col("length") * F.col("n_docs")
+    both = asked.join(hist, F.lit(True), "left").groupBy("context_limit")  # as many rows as limits and lengths
+    count = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return both.agg(
+        count(F.when(fits, F.col("n_docs"))).alias("docs_within"), count(F.when(~fits, F.col("n_docs"))).alias("docs_over"),
+        count(F.when(fits, tokens)).alias("tokens_within"), count(F.least("length", "context_limit") * F.col("n_docs")).alias("truncated_total"),
+    )
+
+
+def quantiles(hist: DataFrame, wanted: list[float]) -> DataFrame:
+    """quantile, length: the least length that at least that share of the documents doesn't exceed; none without rows."""
+    asked = F.explode(F.array(*(F.lit(float(q)) for q in wanted))).alias("share")
+    rows = limits(hist).filter(F.col("docs_within") > 0).select("context_limit", "docs_within", (F.col("docs_within") + F.col("docs_over")).alias("n"), asked)
+    return rows.filter(F.col("docs_within") >= F.col("share") * F.col("n")).groupBy(F.col("share").alias("quantile")).agg(F.min("context_limit").alias("length"))

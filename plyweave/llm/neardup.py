@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, written
+from .common import bounded, discard, portions, small_enough, written
 from .graph import components
 
 HASHES, BANDS, BITS = 80, 20, 4
@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, th (from docs), n (size of the set), h1, h2 (of the set), bands, s0..: for every row of docs."""
 
     def sign(batches):
-        for b in batches:
+        for b in portions(batches, 2):
             ids, parts = b.column(0), []
             for raws in in_groups(b.column(2).to_pylist()):
                 hashes, bounds = shingles(raws, k)
@@ -165,11 +165,12 @@ def likely(a: str, b: str, num: int) -> Column:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid, hashes: the sorted set of each class in wanted (doc_id, cid), from its first document."""
-    own = docs.join(F.broadcast(wanted) if small_enough(wanted, FEW) else wanted, "doc_id").select("cid", "text")
+    """cid, hashes: the sorted set of each class in wanted (cid, rep, rep_th), from a row with that id and text hash."""
+    same = docs["doc_id"].eqNullSafe(wanted["rep"]) & (docs["th"] == wanted["rep_th"])
+    own = docs.join(F.broadcast(wanted) if small_enough(wanted, FEW) else wanted, same).select("cid", "text")
 
     def make(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             cids, sets = b.column(0), []
             for raws in in_groups(b.column(1).to_pylist()):
                 hashes, bounds = shingles(raws, k)
@@ -178,7 +179,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype("i4"), pa.array(flat))
             yield pa.record_batch([cids, lists], ["cid", "hashes"])
 
-    return own.mapInArrow(make, "cid long, hashes array<long>")
+    return own.mapInArrow(make, "cid long, hashes array<long>").dropDuplicates(["cid"])
 
 
 def alike(a: str, b: str, num: int) -> Column:
@@ -199,15 +200,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Words are what lies between ASCII white space, A-Z in lower case; texts of fewer than k words are one shingle. Null
     and empty texts and those without words are linked with nothing, and stay. component_id: the least doc_id reachable
     over links of at least percent. Rows of null id take part, but don't name a component unless nothing else is in it;
-    rows that share an id are judged by their own texts, and the first row of a component is any with its least id.
+    rows that share an id are judged by their own texts. Other columns are ignored; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
-    signs = written(signatures(own.select("doc_id", told, "text"), k), "signatures").withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2")))
+    spark = docs.sparkSession
+    told = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")
+    own = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), told, F.col(text_col).alias("text"))
+    signs = written(signatures(own, k), "signatures").withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2")))
+    # Sets are equal by their number and two sums of 64 bits. A key of one hash that several sets share is replaced by
+    # another hash's, for those sets.
+    clash = signs.filter("n > 0").groupBy("cid").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "h1", "h2") for f in (F.min, F.max)))
+    clash = written(clash.filter("min_n <> max_n or min_h1 <> max_h1 or min_h2 <> max_h2").select(F.col("cid").alias("shared")), "clash")
+    if not small_enough(clash, 0):
+        kept = signs.join(F.broadcast(clash) if small_enough(clash, FEW) else clash, signs["cid"] == clash["shared"], "left")
+        signs = kept.withColumn("cid", F.when(F.col("shared").isNull(), F.col("cid")).otherwise(F.xxhash64("h2", "h1", "n"))).drop("shared")
     longs = [f"s{i}" for i in range(LONGS)]
-    classes = written(
-        signs.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in longs)), "classes"
-    )
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    classes = signs.filter("n > 0").groupBy("cid").agg(least_row.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in longs))
+    classes = written(classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("rep_th"), "n", "bands", *longs), "classes")
     short = classes.select("cid", "n", *longs)
     keys = classes.select("cid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -223,9 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = signed_pairs(starred.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
     stars = stars.filter(likely("x", "y", percent)).groupBy("a").agg(F.max_by("b", estimate("x", "y")).alias("b"))
     stars = written(stars, "stars")
-    # Sets are needed of every class that has a likely partner anywhere; buckets' other members never are compared.
-    linked = members.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id")), "cid")
-    sets = written(full_sets(own.filter("doc_id is not null"), linked.filter("doc_id is not null"), k).dropDuplicates(["cid"]), "sets")
+    # Sets are needed of every class that has company in a bucket; the others are never compared.
+    linked = members.select("cid").distinct().join(classes.select("cid", "rep", "rep_th"), "cid")
+    sets = written(full_sets(own, written(linked, "linked"), k), "sets")
     links = written(confirmed(stars, sets, percent), "links")
     first = components(links)
     # What is still in different components of one bucket, compared by signature within the join.
@@ -242,12 +251,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     all_ = components(links.union(more)) if more.limit(1).count() else first
     groups = classes.select("cid", "rep")
     if all_ is not None:
-        groups = groups.join(all_.withColumnRenamed("v", "cid"), "cid", "left")
-        named = groups.withColumn("root", F.coalesce("root", "cid"))
-        least = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = groups.join(all_.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         groups = named.join(least, "root").select("cid", "component_id")
     else:
         groups = groups.select("cid", F.col("rep").alias("component_id"))
+    groups = written(groups, "groups")
+    discard(spark, classes, members, stars, sets, links, lab, more)
     both = signs.select("doc_id", "th", "n", "cid").join(groups, "cid", "left")
     name = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return both.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"), "th")

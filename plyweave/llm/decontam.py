@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-A fingerprint is the least hash of GRAM-word grams within BAND neighbouring grams, so texts that share
-GRAM + BAND - 1 = 13 words share a fingerprint. Test and training fingerprints are joined; each hit is extended to
-the windows of 13 words around it, which are compared as texts. Items of fewer words are one window, found by their
-longest word instead.
+A fingerprint is the least hash of GRAM-word grams within BAND neighbouring grams, so each window of GRAM + BAND - 1 =
+13 words has one, and texts that share such a window share its fingerprint. Test and training texts are winnowed alike
+and their fingerprints joined. Each hit is then extended: the windows of 13 words that have the fingerprint, which are
+those around its gram, are compared with the benchmark's as texts. Items of fewer words are one window, found by their
+longest word instead, and extended from there in the same way.
 
 The generators are the outer kind throughout: the optimizer adds a filter below the others, and pushing it down
 repeats the whole expression that makes the array.
@@ -41,12 +42,12 @@ def _hashes(df: DataFrame) -> DataFrame:
     return df
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """Adds fp, the distinct fingerprints of `ws`: of each BAND neighbouring grams the least."""
+def window_fingerprints(df: DataFrame) -> DataFrame:
+    """Adds g, the fingerprint of every window of `ws`: of its BAND grams the least."""
     df = _hashes(df)
     for step in (1, 2, 4):
         df = df.withColumn("g", pairwise(F.col("g"), step, lambda a, b: F.least(a, b)))
-    return df.withColumn("fp", F.array_distinct("g")).drop("g")
+    return df
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -75,18 +76,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # Where a document may hold a window: (doc, start of the window from 1, its length).
     long_ = wins.filter(F.col("len") == WINDOW).select(F.split("win", " ").alias("ws"))
-    test = written(_hashes(long_).select(F.explode_outer(F.array_distinct("g")).alias("gram")).distinct(), "grams")
+    test = written(window_fingerprints(long_).select(F.explode_outer("g").alias("gram")).distinct(), "fingerprints")
     low = own.select("doc_id", "th", words(ascii_lower(F.col("text"))).alias("ws"))
     hits = None
     if small_enough(test, 0) is False:
-        found = fingerprints(low).select("doc_id", "th", F.explode_outer("fp").alias("gram"))
+        found = window_fingerprints(low).select("doc_id", "th", F.explode_outer(F.array_distinct("g")).alias("gram"))
         hits = _near(found, test, ["gram"]).select("doc_id", "th").distinct()
     short = wins.filter(F.col("len") < WINDOW).select("len", "win", F.split("win", " ").alias("ws"))
+    anchors = None
     if small_enough(short, 0) is False:
-        longest = F.array_max(F.transform("ws", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"))))
-        anchors = short.select(longest["w"].alias("w")).distinct()
+        longest = F.array_max(F.transform("ws", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), (-i).alias("i"))))
+        # The word, its place in the item, and the item's length.
+        anchors = written(short.select(longest["w"].alias("w"), (-longest["i"]).alias("q"), "len").distinct(), "anchors")
         each = low.select("doc_id", "th", F.explode_outer(F.array_distinct("ws")).alias("w"))
-        few = _near(each, anchors, ["w"]).select("doc_id", "th").distinct()
+        few = _near(each, anchors.select("w").distinct(), ["w"]).select("doc_id", "th").distinct()
         hits = few if hits is None else hits.union(few).distinct()
     counted = own.select("doc_id", "th", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     if hits is None:
@@ -94,20 +97,33 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = written(hits, "hits")
     few_docs = small_enough(hits, FEW)
 
-    # Extension: in documents with a hit, every window is compared with the benchmark's as text.
+    # Extension, in documents with a hit: at = first word of a window (from 0), win = its text.
     same = own["doc_id"].eqNullSafe(hits["doc_id"]) & (own["th"] == hits["th"])
     chosen = own.join(F.broadcast(hits) if few_docs else hits, same, "left_semi").dropDuplicates(["doc_id", "th"])
     chosen = chosen.select("doc_id", "th", words(ascii_lower(F.col("text"))).alias("ws"))
-    lens = sorted(r[0] for r in wins.select("len").distinct().collect())  # at most 13 numbers
+    text_at = lambda at, n: F.array_join(F.slice("ws", at + 1, n), " ")
+
+    def extended(places: DataFrame, start: Column, size: Column, side: DataFrame, keys: list[str]) -> DataFrame:
+        """Windows of the places (doc_id, th, ws, keys) that join with side. Their texts are made behind a broadcast, or
+        before a shuffle, so that no row carries a whole document."""
+        if small_enough(side, FEW):
+            met = places.join(F.broadcast(side), keys)
+            return met.filter((start >= 0) & (start + size <= F.size("ws"))).select("doc_id", "th", start.alias("at"), text_at(start, size).alias("win"), size.alias("len"))
+        around = F.array_join(F.slice("ws", F.greatest(F.col("p") - WINDOW, F.lit(0)) + 1, 2 * WINDOW), " ")
+        lean = places.select("doc_id", "th", "p", *keys, F.size("ws").alias("n"), F.split(around, " ").alias("near"), F.least(F.col("p"), F.lit(WINDOW)).alias("back")).join(side, keys)
+        met = lean.filter((start >= 0) & (start + size <= F.col("n")))
+        return met.select("doc_id", "th", start.alias("at"), F.array_join(F.slice("near", start - F.col("p") + F.col("back") + 1, size), " ").alias("win"), size.alias("len"))
+
     spans = None
-    for n in lens:
-        starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(F.array().cast("array<int>"))
-        size = F.lit(n)
-        texts = F.transform(starts, lambda s: F.array_join(F.slice("ws", s, size), " "))  # noqa: B023
-        one = chosen.select("doc_id", "th", F.posexplode_outer(texts).alias("pos", "win")).select("doc_id", "th", (F.col("pos") + 1).alias("at"), "win", F.lit(n).alias("len"))
-        spans = one if spans is None else spans.union(one)
+    if small_enough(test, 0) is False:
+        places = window_fingerprints(chosen).select("doc_id", "th", "ws", F.posexplode_outer("g").alias("p", "gram"))
+        spans = extended(places, F.col("p"), F.lit(WINDOW), test, ["gram"])
+    if anchors is not None:
+        places = chosen.select("doc_id", "th", "ws", F.posexplode_outer("ws").alias("p", "w"))
+        more = extended(places, F.col("p") - F.col("q"), F.col("len"), anchors, ["w"])
+        spans = more if spans is None else spans.union(more)
     known = wins.select("win").distinct()
-    spans = written(_near(spans, known, ["win"]), "spans")
+    spans = written(_near(spans.distinct(), known, ["win"]), "spans")
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1))))
     n_hit = spans.groupBy("doc_id", "th").agg(F.size(covered).cast("long").alias("n_hit"))
     by_item = spans.select("doc_id", "th", "win").distinct().join(wins.select("win", "item_id"), "win").select("doc_id", "th", "item_id").distinct()

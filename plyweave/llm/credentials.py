@@ -9,12 +9,14 @@ identifier a secret, an endpoint both.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, portions
+
 #: Fixed by the task: the base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -42,10 +44,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def near(part: tuple, others: list[tuple], starts: list[int], widest: int, reach: int) -> bool:
-    """Whether one of the others (sorted by start) begins or ends within reach of part."""
-    lo = bisect_left(starts, part[0] - reach - widest)
-    return any(others[i][3] >= part[0] - reach for i in range(lo, bisect_right(starts, part[3] + reach)))
+def reached(others: list[tuple], reach: int):
+    """Of spans sorted by start, a test whether any but the given one lies within reach of a span.
+
+    An interval join by bisection: among those that begin early enough, the one that ends last decides. Beside it the
+    last end of another one is kept, so that a span is never its own complement.
+    """
+    starts, last = [o[0] for o in others], [(-1, -1, -1)]
+    for i, o in enumerate(others):
+        end, at, second = last[-1]
+        last.append((o[3], i, end) if o[3] > end else (end, at, max(second, o[3])))
+    index = {id(o): i for i, o in enumerate(others)}
+
+    def close(part: tuple) -> bool:
+        end, at, second = last[bisect_right(starts, part[3] + reach)]
+        return (second if index.get(id(part)) == at else end) >= max(part[0] - reach, 0)
+
+    return close
 
 
 def linked_spans(text: str, base: list[tuple], reach: int = REACH) -> list[tuple]:
@@ -55,25 +70,23 @@ def linked_spans(text: str, base: list[tuple], reach: int = REACH) -> list[tuple
     keys = [s for s in base if s[2] == "access"]
     if not ident and not keys:
         return []
-    strong = [(s[0], s[3]) for s in base]
-    free = lambda m: not any(a < m.end() and m.start() < b for a, b in strong)
+    strong = reached(base, 0)
+    free = lambda m: not strong((m.start() + 1, 0, "", m.end() - 1))  # noqa: E731  no byte in common
     mixed = [(m.start(), 4, "weak", m.end()) for m in MIXED.finditer(text) if free(m)]
     ends = [(m.start(), 5, "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
     secret = [s for s in base if s[2] != "access"]
+    cuts = [m.end() for m in re.finditer(r"\n\s*\n", text)]
+    scopes: dict[int, tuple[list, ...]] = {}
+    for i, spans in enumerate((ident + keys, secret + mixed, mixed, ends)):
+        for s in spans:
+            scopes.setdefault(bisect_right(cuts, s[0]), ([], [], [], []))[i].append(s)
     out: list[tuple] = []
-    cuts = [0, *(m.end() for m in re.finditer(r"\n\s*\n", text)), len(text) + 1]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        scope = lambda spans: sorted(s for s in spans if a <= s[0] < b)  # noqa: B023, E731
-        names, secrets, weak, hosts = scope(ident + keys), scope(secret + mixed), scope(mixed), scope(ends)
-
-        def close(part, others):
-            rest = [o for o in others if o is not part]
-            return near(part, rest, [o[0] for o in rest], max((o[3] - o[0] for o in rest), default=0), reach)
-
+    for names, secrets, weak, hosts in scopes.values():
         if names and (secrets or hosts):
-            out += [s for s in names if s[2] == "identifier" and close(s, secrets)]
-            out += [s for s in weak if close(s, names)]
-            out += [s for s in hosts if close(s, names) and close(s, secrets)]
+            by_name, by_secret = reached(sorted(names), reach), reached(sorted(secrets), reach)
+            out += [s for s in names if s[2] == "identifier" and by_secret(s)]
+            out += [s for s in weak if by_name(s)]
+            out += [s for s in hosts if by_name(s) and by_secret(s)]
     return out
 
 
@@ -87,12 +100,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     def find(batches):
         shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         tell = lambda spans: [{"kind": k, "start": s, "end": e} for s, _, k, e in spans]
-        for b in batches:
-            base = [base_spans(t) if t else [] for t in b.column(1).to_pylist()]
-            more = [sorted(linked_spans(t, s, reach)) if t else [] for t, s in zip(b.column(1).to_pylist(), base, strict=True)]
+        for b in portions(batches, 1):
+            texts = b.column(1).to_pylist()
+            base = [base_spans(t) if t else [] for t in texts]
+            more = [sorted(linked_spans(t, s, reach)) if t else [] for t, s in zip(texts, base, strict=True)]
             yield pa.record_batch([b.column(0), pa.array(map(tell, base), shape), pa.array(map(tell, more), shape)], ["doc_id", "base", "linked"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, f"doc_id {kind}, base {SPAN}, linked {SPAN}")
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, f"doc_id {kind}, base {SPAN}, linked {SPAN}")
 
 
 def joined(spans: Column) -> Column:
@@ -122,12 +136,15 @@ def redacted(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") ->
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by the mark in text, and n_chars its new length where the text changed."""
+    """docs with every span replaced by the mark in text, and n_chars its new length where the text changed.
+
+    Every row comes back, repeated ones too, with its other columns as they were; null and empty texts have no spans.
+    """
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars")
 
     def clean(batches):
-        for b in batches:
+        for b in portions(batches, at):
             texts, counts = b.column(at).to_pylist(), b.column(size).to_pylist()
             for i, t in enumerate(texts):
                 if t and (spans := [*(base := base_spans(t)), *linked_spans(t, base)]):
@@ -137,4 +154,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             cols[at], cols[size] = pa.array(texts, pa.string()), pa.array(counts, b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return bounded(docs).mapInArrow(clean, docs.schema)

@@ -86,7 +86,7 @@ def likeness(x: tuple[int, list[np.ndarray]], y: tuple[int, list[np.ndarray]]) -
     if x[0] == y[0] and all(np.array_equal(a, b) for a, b in zip(x[1], y[1], strict=True)):
         return 1.0
     pairs = [(x[1][i], y[1][j]) for i in range(LEVELS) for j in range(LEVELS) if x[0] + i == y[0] + j]
-    return max((alike(a, b) for a, b in pairs[:2]), default=0.0)
+    return max((alike(a, b) for a, b in pairs), default=0.0)
 
 
 def fingerprint(text: str) -> str:

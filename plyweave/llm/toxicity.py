@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded, portions
 from .neardup import in_groups, mixed, powers, stream
 
 BUCKETS, SUBS, DIM, EACH, WIDTHS = 1 << 16, 4, 8, 4, (1, 2, 3)
@@ -120,6 +121,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -30, 30)))
 
 
+def ends_masked(conv: np.ndarray) -> None:
+    """Of one text: takes out the windows that reach past its end, all but the first if the text is shorter than a filter."""
+    for w in WIDTHS[1:]:
+        i = WIDTHS.index(w) * EACH
+        conv[max(1, len(conv) - w + 1) :, i : i + EACH] = -np.inf
+
+
 def started(model: Model, docs: list[np.ndarray], y: np.ndarray) -> None:
     """Puts each bucket's smoothed log-odds into one dimension, and filters that read them into every width."""
     base = y.mean()
@@ -166,6 +174,7 @@ def trained(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
                     continue
                 e = sum(model.emb[s][ids[:, s]] for s in range(SUBS))
                 conv = model.convolved(e @ model.filters)
+                ends_masked(conv)
                 best = conv.argmax(0)
                 raw = conv[best, np.arange(conv.shape[1])] + model.bias
                 act = np.maximum(raw, 0)
@@ -238,13 +247,13 @@ def counted_bins(rows: DataFrame, model: Model) -> DataFrame:
     def binned(batches):
         m = held.value
         tables = m.tables()
-        for b in batches:
+        for b in portions(batches):
             z = [m.logits(tables, raws) for raws in in_groups(b.column("text").to_pylist())]
             if z:
                 yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("toxic"), pa.array(bins(m, np.concatenate(z)))], names=["lang", "toxic", "bin"])
 
     own = rows.select("text", F.coalesce("lang", F.lit("")).alias("lang"), (F.col("toxic") > 0).alias("toxic"))
-    return own.mapInArrow(binned, "lang string, toxic boolean, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n"))
+    return bounded(own).mapInArrow(binned, "lang string, toxic boolean, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n"))
 
 
 def histogram_cut(pos: Counter, neg: Counter) -> float:
@@ -270,15 +279,23 @@ def fold(doc_id):
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on a sample of the rows labelled outside the held-out fold: at most some `sample` of them, chosen by hash of
-    the id (all, if there are no more). Rows without a label or text are left out; of an id's labels the highest counts.
-    The languages' thresholds are set on the sample (by models of its other parts) and all the other such rows (by the model)."""
+    the id (all, if there are no more). Rows without a label, an id or a text are left out; of an id's labels the highest
+    counts, of its texts the first in order, so that the same tables give the same model. Without such rows, or with one
+    label alone, every score is the labels' share (0.001 at least, 0.5 at most). Other columns are ignored.
+    The languages' thresholds are set on the sample (by models of its other parts) and all the other such rows (by the
+    model); a null language is one by itself."""
     own = labels.filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 1)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = own.count()
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n) if n > sample else F.lit(True)
     texts = docs.select("doc_id", "text", "lang").filter("text is not null")
     rows = texts.join(F.broadcast(own.filter(drawn)), "doc_id")  # the sample
-    got = sorted(rows.toPandas().drop_duplicates("doc_id").itertuples(index=False), key=lambda r: zlib.crc32(str(r.doc_id).encode()))
+    first: dict[int, tuple] = {}
+    for r in rows.select("doc_id", "text", "lang", "toxic").collect():
+        key = (r.text, r.lang or "")
+        if r.doc_id not in first or key < first[r.doc_id][0]:
+            first[r.doc_id] = (key, r)
+    got = [r for _, r in sorted(first.values(), key=lambda x: (zlib.crc32(str(x[1].doc_id).encode()), x[1].doc_id))]
     y = np.array([float(r.toxic > 0) for r in got])
     model = trained([r.text for r in got], y)
     counts = []
@@ -295,7 +312,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """Every row of docs with score, and flagged: whether it reaches its language's threshold (CUT without one).
 
-    Null texts are empty. The score depends on the text alone; the other columns come back as they were.
+    Null texts are empty; repeated rows get a score each; an empty table gives no rows. The score depends on the text
+    alone. Columns of the input named score or flagged are replaced, all others come back as they were.
     """
     names, held = [c for c in docs.columns if c not in ("score", "flagged")], docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*names)
@@ -303,8 +321,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     def score(batches):
         m = held.value
         tables = m.tables()
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        at = names.index("text")
+        for b in portions(batches, at):
+            texts = b.column(at).to_pylist()
             langs = b.column(b.schema.get_field_index("lang")).to_pylist()
             z = [m.logits(tables, raws) for raws in in_groups(texts)]
             s = m.scores(np.concatenate(z)) if z else np.empty(0)
@@ -312,4 +331,4 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.astype("f8")), pa.array(flagged, pa.bool_())], names=[*names, "score", "flagged"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("flagged", T.BooleanType())])
-    return kept.mapInArrow(score, schema)
+    return bounded(kept).mapInArrow(score, schema)

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
-
-DEPTH = 3
+from .common import ascii_lower, fresh, small_enough, written
 
 
 def with_host_and_path(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -34,49 +32,55 @@ def rule_of(rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments() -> list[Column]:
-    """The path's first segments, variable ones as wildcards by their form; what lies deeper is one wildcard."""
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+def shape() -> Column:
+    """The path's segments with slashes between them, variable ones as wildcards by their form; empty ones are left out."""
 
     def kind(x: Column) -> Column:
         return (
-            F.when(x.isNull(), "")
-            .when(x.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "{n}")
+            F.when(x.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "{n}")
             .when(x.rlike(r"^[0-9a-fA-F-]{8,}$"), "{x}")
             .when(x.rlike(r"[0-9]") & (F.length(x) >= 6), "{s}")
             .otherwise(ascii_lower(x))
         )
 
-    deep = F.when(F.size(parts) > DEPTH, "/**").otherwise("")
-    shown = [kind(F.get(parts, F.lit(i))) for i in range(DEPTH)]
-    return [c.alias(f"s{i}") for i, c in enumerate([*shown[:-1], F.concat(shown[-1], deep)])]
+    return F.array_join(F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), kind), "/")
 
 
 def template_tree(groups: DataFrame, max_children: int = 24, z: float = 2.0) -> DataFrame:
-    """host, s0.., template: the tree's leaf for each kind of path.
+    """host, shape, n, lab, bad, template: the tree's leaf for each kind of path.
 
-    groups: host, s0.., n, lab (labelled rows), bad (of them rejected), read at every level. Levels are written, as a
-    plan of all of them would hold the first ones many times over. From the root down, a node with more than
+    groups: host, shape, n, lab (labelled rows), bad (of them rejected). From the root down, a node with more than
     max_children different segments gets one wildcard child; else children whose share of rejected rows is within z
-    standard errors of all children's are merged, and the others stay apart.
+    standard errors of all children's are merged, and the others stay apart. A level is written before the next one is
+    made, and the last is the one where every path has ended or is the only one of its node, whose other segments stay
+    as they are: so there are as many levels as segments that two kinds of path share, whatever the paths' lengths.
     """
-    tree = groups.withColumn("template", F.lit(""))
-    for i in range(DEPTH):
-        own = tree.groupBy("host", "template", f"s{i}").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+    spark, base = groups.sparkSession, fresh(groups.sparkSession, "levels")
+    left, level = groups.withColumn("template", F.lit("")), 0
+    while True:
+        segs = F.filter(F.split("shape", "/"), lambda x: x != "")
+        at = left.withColumn("s", F.coalesce(F.get(segs, F.lit(level)), F.lit("")))
+        own = at.groupBy("host", "template", "s").agg(F.count("*").alias("kinds"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
         node = own.groupBy("host", "template").agg(
-            F.count("*").alias("children"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad")
+            F.count("*").alias("children"), F.sum("kinds").alias("all_kinds"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad")
         )
         share = (F.col("all_bad") + 0.5) / (F.col("all_lab") + 1.0)
         off = F.abs(F.col("bad") - F.col("lab") * share) / F.sqrt(F.col("lab") * share * (1 - share) + 1e-9)
         token = (
-            F.when(F.col(f"s{i}") == "", "")
+            F.when(F.col("s") == "", "")
             .when(F.col("children") > max_children, "/*")
             .when((F.col("children") > 1) & (F.col("lab") > 0) & (off < z), "/~")
-            .otherwise(F.concat(F.lit("/"), F.col(f"s{i}")))
+            .otherwise(F.concat(F.lit("/"), F.col("s")))
         )
-        named = own.join(node, ["host", "template"]).select("host", "template", f"s{i}", token.alias("token"))
-        tree = written(tree.join(named, ["host", "template", f"s{i}"]).withColumn("template", F.concat("template", "token")).drop("token"), f"level{i}")
-    return tree
+        named = own.join(node, ["host", "template"]).select("host", "template", "s", token.alias("token"), (F.col("all_kinds") == 1).alias("alone"))
+        rest = F.concat_ws("", F.transform(F.slice(segs, level + 1, F.greatest(F.size(segs) - level, F.lit(0))), lambda x: F.concat(F.lit("/"), x)))
+        to = F.concat("template", F.when(F.col("alone"), rest).otherwise(F.col("token")))
+        found = at.join(named, ["host", "template", "s"]).select("host", "shape", "n", "lab", "bad", to.alias("template"), (F.col("alone") | (F.col("s") == "")).alias("done"))
+        found.write.parquet(f"{base}/level={level}")
+        left = spark.read.schema(found.schema).parquet(f"{base}/level={level}").filter("not done").drop("done")
+        if small_enough(left, 0):
+            return spark.read.schema(found.schema).parquet(base).filter("done").select("host", "shape", "n", "lab", "bad", "template")
+        level += 1
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], strength: float = 4.0, reject_at: float = 0.5, max_children: int = 24) -> DataFrame:
@@ -88,8 +92,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], strength: fl
     repeated rows give repeated results; other columns are ignored.
     """
     rule, said = rule_of(rules)
-    seen = with_host_and_path(pages).select("*", rule.alias("rule"), said.alias("said"), *segments())
-    keys = ["host", *(f"s{i}" for i in range(DEPTH))]
+    seen = with_host_and_path(pages).select("*", rule.alias("rule"), said.alias("said"), shape().alias("shape"))
+    keys = ["host", "shape"]
     groups = seen.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count("said").alias("lab"), F.sum((F.coalesce("said", F.lit("")) == "block").cast("long")).alias("bad")
     )

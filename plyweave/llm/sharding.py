@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slots, written
 
 LOW, BITS = -(2**63), 12
 #: Shifts that make the probes of each round, from coarse to exact.
@@ -108,20 +108,20 @@ def shard_of(marks: list[tuple[int, int] | None]) -> Column:
 def histogram_sort_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, rows_per_task: int = 250_000) -> DataFrame:
     """Every row of docs in one of the shards, sizes near equal: doc_id, size, text_crc32, shard, slot.
 
-    Slots number a shard's rows from 0 without gaps. A shard of more than rows_per_task rows is numbered in several
-    tasks, whose offsets come from exact counts. Null texts count as empty, null ids sort first, repeated rows get
-    slots of their own, an empty table gives no rows; other columns are ignored.
+    Slots number a shard's rows from 0 without gaps, in the order of the key. The exchange puts ranges of the key, of
+    some rows_per_task rows, into tasks; a row's slot is its place in its task, and what the tasks before have of its
+    shard. Null texts count as empty, null ids sort first, repeated rows get slots of their own, an empty table gives
+    no rows; other columns are ignored.
     """
     keys = written(keyed(docs), "keys")
     marks = splitters(keys, shards, tolerance)
-    parts = max(1, math.ceil(keys.count() / shards / rows_per_task))
-    placed = keys.withColumn("shard", shard_of(marks)).withColumn("chunk", F.pmod(F.hash("kd", "kh"), F.lit(parts)))
-    order = Window.partitionBy("shard", "chunk").orderBy("kh", "kd", "size")
-    ranked = placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
-    if parts > 1:
-        sums = placed.groupBy("shard", "chunk").count()
-        before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        ranked = ranked.join(F.broadcast(sums.select("shard", "chunk", "base")), ["shard", "chunk"])
-        ranked = ranked.withColumn("slot", F.col("slot") + F.col("base"))
-    return ranked.select("doc_id", "size", "text_crc32", "shard", "slot")
+    tasks = max(slots(docs.sparkSession), math.ceil(keys.count() / rows_per_task))
+    ranges = keys.withColumn("shard", shard_of(marks)).repartitionByRange(tasks, "kh", "kd").sortWithinPartitions("kh", "kd", "size")
+    # Of a task, then the place in it; written, so that both stay what they are.
+    ranked = written(ranges.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at")), "ranked")
+    runs = ranked.groupBy("shard", F.shiftright("at", 33).alias("task")).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    # A task holds neighbours, so there are at most as many runs as tasks and shards together.
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("shard", "task", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = ranked.withColumn("task", F.shiftright("at", 33)).join(F.broadcast(runs), ["shard", "task"])
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("shift")).alias("slot"))

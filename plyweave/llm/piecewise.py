@@ -12,14 +12,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slots
+from .common import bounded, portions, slots
 
 SPAN, LEAST_BITS, MOST, LEVELS = 7, 2, 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "u1")
 WEIGHTS = [pow(0x9E3779B1, k + 1, 2**32) for k in range(SPAN)]
+#: Bytes of text in a range.
+PART = 32 << 20
 KIND = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -99,30 +101,37 @@ def edited(text: str, other: str) -> tuple[str, int]:
     return text[: len(text) - n] + other[:n], len(text) - n
 
 
-def in_turn(docs: DataFrame, parts: int) -> DataFrame:
-    """part, ghost, doc_id, text: rows by ranges of doc_id; each range's first row goes to the range before as ghost, too.
+def dealing(spark: SparkSession, parts: int) -> list[int]:
+    """For each partition a number that hash partitioning puts there, so that no two ranges share one."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("at")
+    found = spark.range(40 * parts, numPartitions=1).select(at, F.col("id").cast("int").alias("id")).groupBy("at").agg(F.min("id").alias("id"))
+    keys = {r.at: r.id for r in found.collect()}  # one for each partition
+    return [keys.get(k, k) for k in range(parts)]
+
+
+def in_turn(docs: DataFrame, most: int = PART) -> tuple[DataFrame, int]:
+    """deal, part, ghost, k, h, doc_id, text: rows by ranges of doc_id, of some `most` bytes of text; each range's first
+    row goes to the range before as ghost, too. And how many ranges there are.
 
     The bounds are quantiles of the ids; the first rows are one per range.
     """
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(slots(spark), -(-total // most))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     cuts = own.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10_000)).first()[0] or [] if parts > 1 else []
     cuts = sorted(set(cuts))
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda c: c <= key)) if cuts else F.lit(0)
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
     keyed = own.select(part.alias("part"), key.alias("k"), "doc_id", "text", F.xxhash64("text").alias("h"))
     firsts = keyed.groupBy("part").agg(F.min(F.struct("k", "h")).alias("f")).orderBy("part").collect()  # one per range
-    before = {r.part: firsts[i - 1].part for i, r in enumerate(firsts)}
-    heads = F.lit(None).cast("int")
-    for r in firsts:
-        here = (F.col("part") == r.part) & (F.col("k") == r.f.k) & (F.col("h") == r.f.h)
-        heads = F.when(here, before[r.part]).otherwise(heads) if len(firsts) <= 64 else heads
-    if len(firsts) <= 64:
-        return keyed.withColumn("head", heads).select("*", F.explode(F.when(F.col("head").isNull(), F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("ghost")), F.struct(F.col("head").alias("to"), F.lit(True).alias("ghost"))))).alias("x")).select(F.col("x.to").alias("part"), F.col("x.ghost").alias("ghost"), "k", "h", "doc_id", "text")
-    spark = docs.sparkSession
-    marks = F.broadcast(spark.createDataFrame([(before[r.part], r.part, r.f.k, r.f.h) for r in firsts], "to int, part int, k long, h long"))
-    ghosts = keyed.join(marks, ["part", "k", "h"]).select(F.col("to").alias("part"), F.lit(True).alias("ghost"), "k", "h", "doc_id", "text")
-    return keyed.select("part", F.lit(False).alias("ghost"), "k", "h", "doc_id", "text").unionByName(ghosts)
+    marks = [(firsts[i - 1].part, r.part, r.f.k, r.f.h) for i, r in enumerate(firsts)]
+    heads = F.broadcast(spark.createDataFrame(marks, "before int, part int, k long, h long"))  # of the ranges' number
+    known = keyed.join(heads, ["part", "k", "h"], "left")
+    to = F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("to"), F.lit(True).alias("ghost")))
+    told = known.select("*", F.explode(F.filter(to, lambda x: x["to"].isNotNull())).alias("x"))
+    deals = F.array(*map(F.lit, dealing(spark, parts)))
+    return told.select(F.get(deals, F.col("x.to")).alias("deal"), F.col("x.to").alias("part"), F.col("x.ghost").alias("ghost"), "k", "h", "doc_id", "text"), parts
 
 
 def compare_in_turn(docs: DataFrame) -> DataFrame:
@@ -131,12 +140,12 @@ def compare_in_turn(docs: DataFrame) -> DataFrame:
     The next document is the one that follows by doc_id (ties by the text's hash; null ids first), after the last the
     first. Null texts are empty; equal texts have equal fingerprints, empty ones too; other columns are ignored.
     """
-    parts = slots(docs.sparkSession)
-    dealt = in_turn(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "ghost", "k", "h")
+    found, parts = in_turn(bounded(docs))
+    dealt = found.repartition(parts, "deal").sortWithinPartitions("part", "ghost", "k", "h")
 
     def run(batches):
         prev = None  # part, doc_id, text, its hashes and symbols
-        for b in batches:
+        for b in portions(batches, 3):
             out = []
             for part, ghost, d, t in zip(*(b.column(n).to_pylist() for n in ("part", "ghost", "doc_id", "text")), strict=True):
                 raw = t.encode()

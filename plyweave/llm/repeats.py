@@ -6,7 +6,8 @@ group of equal grams the right contexts and the reversed left contexts are sorte
 at distance d before their anchors are equal if their anchors share d bytes to the left and SPAN - d to the right. The
 classes of the two orders change at few depths only, so each group is decided by a few sweeps.
 
-Contexts that are equal as a whole are one kind, by their hashes: a kind found twice is repeated throughout, and only
+Texts are told apart by two hashes of 64 bits; grams and contexts by one of 64 bits each, contexts within their gram
+only. Contexts that are equal as a whole are one kind, by their hashes: a kind found twice is repeated throughout, and only
 one context of each kind is sorted, in groups where a kind occurs once. Groups of more than WIDE kinds are decided
 without bringing them together: the windows of each context are cut into cells of WIDTHS starts, by their distance to
 the anchor. A cell whose bytes occur twice is repeated as a whole, one whose common bytes occur once is not repeated at
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, slots, written
+from .common import bounded, discard, portions, small_enough, slots, written
 from .neardup import mixed, stream
 from .suffixes import deep_shallow
 
 SPAN, GRAM, WIDE = 400, 128, 2048
+#: Broadcast bound, in rows of one long.
+FEW = 200_000
 #: Starts in a cell, from level to level.
 WIDTHS = (64, 16, 4, 1)
 
@@ -126,18 +129,6 @@ def repeated_windows(group: list[tuple[bytes, int, int, int, int]], span: int =
     return found
 
 
-def pair_windows(x, y, span: int = SPAN) -> list[list[tuple[int, int]]]:
-    """repeated_windows of two anchors."""
-    from .suffixes import common
-
-    right, left = common(x[0][x[1] :], y[0][y[1] :]), common(x[0][: x[1]][::-1], y[0][: y[1]][::-1])
-    out = []
-    for _, _, q, lo, hi in (x, y):
-        a, b = max(q - left, lo), min(q - max(0, span - right), hi)
-        out.append([(a, b)] if a <= b else [])
-    return out
-
-
 def in_cells(contexts: DataFrame) -> list[DataFrame]:
     """cid, a, b of what is repeated within groups of contexts (h, cid, q, lo, hi, ctx), level by level."""
     found, looked = [], contexts.withColumn("parents", F.lit(None).cast("array<long>"))
@@ -171,12 +162,27 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows of equal text are one text with copies, and wholly removed if it has SPAN bytes. Null texts are empty; repeated
     rows are copies; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
+    spark = docs.sparkSession
+    own = bounded(docs).select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     own = own.withColumn("cid", F.xxhash64("raw"))
+
+    def counted(own: DataFrame) -> DataFrame:
+        other = F.xxhash64(F.lit(1), "raw")
+        texts = own.filter(F.length("raw") >= SPAN).groupBy("cid")
+        return written(texts.agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min(other).alias("least"), F.max(other).alias("most")), "sizes")
+
+    sizes = counted(own)
+    # A key that different texts share, as their second hashes tell, is replaced by that second hash.
+    shared_keys = written(sizes.filter("least <> most").select(F.col("cid").alias("clash")), "clash")
+    if not small_enough(shared_keys, 0):
+        told = own.join(F.broadcast(shared_keys) if small_enough(shared_keys, FEW) else shared_keys, own["cid"] == shared_keys["clash"], "left")
+        own = told.withColumn("cid", F.when(F.col("clash").isNull(), F.col("cid")).otherwise(F.xxhash64(F.lit(1), "raw"))).drop("clash")
+        discard(spark, sizes)
+        sizes = counted(own)
     large = own.filter(F.length("raw") >= SPAN)
 
     def find(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             parts = []
             for cid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 a = anchors(raw)
@@ -198,7 +204,6 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     many = bool(groups.filter("big").limit(1).count())
     compared = shared.filter("first = 1").join(kinds.select("h", "x", "cid").join(groups, "h"), ["h", "x", "cid"])
     listed = compared.groupBy("cid").agg(F.collect_set(F.struct("h", "q", "lo", "hi", "big")).alias("at"))
-    sizes = large.groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     listed = listed.join(sizes.select("cid", "rep"), "cid")
     texts = large.select("cid", F.col("doc_id").alias("rep0"), "raw")
     chosen = texts.join(listed, "cid").filter(F.col("rep").eqNullSafe(F.col("rep0"))).select("cid", "raw", "at")
@@ -230,7 +235,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             rows = list(group.items())
             if len(rows) > 1:
                 items = [v for _, v in rows]
-                for (key, _), spans in zip(rows, pair_windows(*items) if len(rows) == 2 else repeated_windows(items), strict=True):
+                for (key, _), spans in zip(rows, repeated_windows(items), strict=True):
                     out.extend((key[0], a, e + SPAN) for a, e in spans)
 
         def flush():
@@ -248,7 +253,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         close()
         yield flush()
 
-    dealt = cut.filter("not big").select(*names[:6]).repartition(slots(docs.sparkSession), "h").sortWithinPartitions("h")
+    dealt = cut.filter("not big").select(*names[:6]).repartition(slots(spark), "h").sortWithinPartitions("h")
     spans = whole.union(dealt.mapInArrow(decide, "cid long, a long, b long"))
     if many:
         for part in in_cells(cut.filter("big").select(*names[:6])):
@@ -256,6 +261,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     by_text = spans.groupBy("cid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     info = by_text.join(sizes.filter("copies > 1").select("cid", "copies"), "cid", "full")
     info = written(info.select("cid", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")
+    discard(spark, places, grams, shared, kinds, groups, cut, sizes)
     out = own.join(info, "cid", "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("raw").cast("long").alias("b")))
     return out.select("doc_id", "raw", F.when(F.col("copies") > 1, everything).otherwise(F.col("spans")).alias("spans"))
@@ -267,7 +273,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             rows = []
             for raw, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 runs = merged((s["a"], s["b"]) for s in spans or ())

@@ -46,3 +46,14 @@ def from_bf16(bits: Column) -> Column:
 def assembled(sign_: Column, exp: Column, mant: Column) -> Column:
     """sign, exponent and mantissa as 16 bits."""
     return F.shiftleft(sign_, 15).bitwiseOR(F.shiftleft(exp.cast("long").bitwiseAND(F.lit(255)), 7)).bitwiseOR(mant)
+
+
+def from_fp16(bits: Column) -> Column:
+    """The value of a half-precision float's 16 bits as a double, exactly."""
+    e, m = F.shiftright(bits, 10).bitwiseAND(F.lit(31)), bits.bitwiseAND(F.lit(1023)).cast("double")
+    size = (
+        F.when(e == 31, F.when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        .when(e == 0, m * F.lit(2.0**-24))
+        .otherwise((m + 1024) * F.pow(F.lit(2.0), (e - 25).cast("double")))
+    )
+    return F.when(sign(bits) == 1, -size).otherwise(size)

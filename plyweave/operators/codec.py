@@ -21,8 +21,9 @@ def with_bits(elements: DataFrame) -> DataFrame:
 def exponent_histogram(bf: DataFrame) -> DataFrame:
     """tensor, exp, n for all 256 exponents, empty ones too."""
     n = bf.groupBy("tensor", "exp").agg(F.count("*").alias("n"))
-    spine = n.select("tensor").distinct().select("tensor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("exp"))
-    return spine.join(n, ["tensor", "exp"], "left").select("tensor", "exp", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    counts = n.groupBy("tensor").agg(F.map_from_entries(F.collect_list(F.struct("exp", "n"))).alias("by"))  # 256 entries at most
+    dense = counts.select("tensor", "by", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("exp"))
+    return dense.select("tensor", "exp", F.coalesce(F.try_element_at("by", F.col("exp")), F.lit(0)).cast("long").alias("n"))
 
 
 def base_exponent(bf: DataFrame) -> DataFrame:
@@ -35,9 +36,10 @@ def base_exponent(bf: DataFrame) -> DataFrame:
 
 
 def grouped(bf: DataFrame, base: DataFrame) -> DataFrame:
-    """Adds base_exp and grp: 1 to 15, or 0 for an escape. base has a row per tensor."""
+    """Adds base_exp and grp: 1 to 15, or 0 for an escape. base has a row per tensor, some hundreds in a model, and is
+    broadcast: a join by shuffle would bring all elements of a tensor into one task."""
     g = F.col("exp") - F.col("base_exp")
-    return bf.join(base.select("tensor", "base_exp"), "tensor").withColumn("grp", F.when(g.between(1, GROUPS), g).otherwise(0))
+    return bf.join(F.broadcast(base.select("tensor", "base_exp")), "tensor").withColumn("grp", F.when(g.between(1, GROUPS), g).otherwise(0))
 
 
 def sign_mantissa(bits):
@@ -69,11 +71,17 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return at.select("tensor", "r", "k", "base_exp", byte(F.col("sm"), F.col("k")).alias("sm"), grp.alias("grp"))
 
 
-def row_offsets(groups: DataFrame) -> DataFrame:
-    """tensor, r, n_escapes, start: escapes before each row; rows without any are kept."""
-    per_row = groups.groupBy("tensor", "r").agg(F.count_if(F.col("grp") == 0).alias("n_escapes"))
-    before = Window.partitionBy("tensor").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    return per_row.withColumn("start", F.coalesce(F.sum("n_escapes").over(before), F.lit(0)))
+def row_offsets(groups: DataFrame, block: int = 4096) -> DataFrame:
+    """tensor, r, n_escapes, start: escapes before each row; rows without any are kept.
+
+    Sums are made within blocks of rows, then over the blocks' sums, so that no task has all rows of a tensor.
+    """
+    per_row = groups.groupBy("tensor", "r").agg(F.count_if(F.col("grp") == 0).alias("n_escapes")).withColumn("block", F.expr(f"r div {block}"))
+    sums = per_row.groupBy("tensor", "block").agg(F.sum("n_escapes").alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("tensor", "block", F.coalesce(F.sum("n").over(before(Window.partitionBy("tensor").orderBy("block"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n_escapes").over(before(Window.partitionBy("tensor", "block").orderBy("r"))), F.lit(0))
+    return per_row.withColumn("own", own).join(bases, ["tensor", "block"]).select("tensor", "r", "n_escapes", (F.col("base") + F.col("own")).alias("start"))
 
 
 def escapes(groups: DataFrame) -> DataFrame:
@@ -89,13 +97,18 @@ def statistics(groups: DataFrame) -> DataFrame:
     return s.select("tensor", "n", "escapes", F.round(100.0 * F.col("escapes") / F.col("n"), 4).alias("escape_pct"), size.alias("packed_bytes"), F.round(2.0 * F.col("n") / size, 4).alias("ratio"))
 
 
+def cells(groups: DataFrame) -> DataFrame:
+    """tensor, r, k, base_exp, sm, grp, correct: what a packed row and its patches hold of each element, side by side."""
+    return groups.select("tensor", "r", "k", "base_exp", sign_mantissa(F.col("bits")).alias("sm"), "grp", F.when(F.col("grp") == 0, F.col("bits")).alias("correct"))
+
+
 def decoded(cells: DataFrame, patches: DataFrame | None = None) -> DataFrame:
-    """tensor, r, k, bits, v of cells (sm, grp, base_exp). With patches exact; without, escapes decode to their wrong value."""
+    """tensor, r, k, bits, v of cells (sm, grp, base_exp). With patches, or cells that carry their own (correct), exact;
+    without, escapes decode to their wrong value."""
     plain = B.assembled(F.shiftright("sm", 7), F.col("base_exp") + F.col("grp"), F.col("sm").bitwiseAND(F.lit(127)))
-    if patches is None:
-        out = cells.withColumn("bits", plain)
-    else:
-        out = cells.join(patches.select("tensor", "r", "k", "correct"), ["tensor", "r", "k"], "left").withColumn("bits", F.coalesce("correct", plain))
+    if patches is not None:
+        cells = cells.drop("correct").join(patches.select("tensor", "r", "k", "correct"), ["tensor", "r", "k"], "left")
+    out = cells.withColumn("bits", F.coalesce("correct", plain) if "correct" in cells.columns else plain)
     return out.select("tensor", "r", "k", "bits", B.from_bf16(F.col("bits")).alias("v"))
 
 

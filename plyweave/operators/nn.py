@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits as B
+
 
 def rms_norm(x: DataFrame, weight: DataFrame | None = None, eps: float = 1e-5) -> DataFrame:
     """seq, k, y: x over the root of its mean square; weight: k, w (1 without)."""
@@ -30,6 +32,11 @@ def swiglu(gate: DataFrame, up: DataFrame) -> DataFrame:
     return gate.join(up.withColumnRenamed("x", "u"), ["seq", "k"]).select("seq", "k", y.alias("y"))
 
 
+def swiglu_bf16(gate: DataFrame, up: DataFrame) -> DataFrame:
+    """seq, k, bits: swiglu, rounded to bfloat16."""
+    return swiglu(gate, up).select("seq", "k", B.to_bf16(F.col("y")).alias("bits"))
+
+
 def embed_lookup(tokens: DataFrame, table: DataFrame, width: int) -> DataFrame:
     """seq, pos, k, x: the table's row (id, k, x) of each token; zeros for ids that it lacks."""
     wide = tokens.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"))
@@ -90,8 +97,10 @@ def argmax(logits: DataFrame) -> DataFrame:
     return logits.groupBy("seq").agg(F.coalesce(-F.max(fit)["k"], F.lit(0)).cast("long").alias("idx"))
 
 
-def lane_rank(k, lanes_bits: int = 8):
-    """Rank of an index among ties in a pairwise tree over 2^lanes_bits lanes: its lane's bits reversed, then the index."""
-    lane = k % (1 << lanes_bits)
-    rev = F.conv(F.reverse(F.lpad(F.conv(lane.cast("string"), 10, 2), lanes_bits, "0")), 2, 10).cast("long")
-    return F.struct(rev.alias("lane"), k.alias("k"))
+def argmax_lanes(logits: DataFrame, lane_bits: int = 8) -> DataFrame:
+    """argmax whose ties go as in a tree of pairs over 2^lane_bits lanes: to the lane with the least reversed bits, then to the
+    lowest index."""
+    lane = F.pmod(F.col("k"), F.lit(1 << lane_bits))
+    reversed_ = F.conv(F.reverse(F.lpad(F.bin(lane), lane_bits, "0")), 2, 10).cast("long")
+    fit = F.when(~F.isnan("x") & (F.col("x") > float("-inf")), F.struct("x", (-reversed_).alias("lane"), (-F.col("k")).alias("k")))
+    return logits.groupBy("seq").agg(F.coalesce(-F.max(fit)["k"], F.lit(0)).cast("long").alias("idx"))

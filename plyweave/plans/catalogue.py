@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import tokens as T
 from ..operators import codec, kv, linalg, nn
+from ..sources import dictionaries
 from ..streaming import chat
 from . import model
 
@@ -43,7 +44,13 @@ def groups(els):
 
 
 def cells(els):
-    return groups(els).withColumn("sm", codec.sign_mantissa(F.col("bits")))
+    return codec.cells(groups(els))
+
+
+def tensors(spark, d):
+    """The embeddings as two tensors of different exponents: gate, and up, which is 0.37 of it."""
+    both = F.explode(F.array(F.struct(F.lit("gate").alias("t"), F.lit(1.0).cast("float").alias("f")), F.struct(F.lit("up").alias("t"), F.lit(0.37).cast("float").alias("f"))))
+    return elements(spark, d).withColumn("x", both).select(F.col("x.t").alias("tensor"), "r", "k", (F.col("v") * F.col("x.f")).cast("float").alias("v"))
 
 
 def vectors(spark, d, n=1):
@@ -150,13 +157,12 @@ def codec_roundtrip(spark, d):
 
 @query(_sql(f"SELECT r AS vec_id, k AS col, round({_val('bits')}, 8) + 0.0 AS value FROM g"))
 def decode_exact(spark, d):
-    c = cells(elements(spark, d))
-    return codec.decoded(c.drop("bits"), codec.escapes(c)).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
+    return codec.decoded(cells(elements(spark, d))).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
 
 
 @query(_sql(f"SELECT r AS vec_id, k AS col, round({_val(_PLAIN)}, 8) + 0.0 AS value FROM g"))
 def decode_unpatched(spark, d):
-    return codec.decoded(cells(elements(spark, d)).drop("bits")).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
+    return codec.decoded(cells(elements(spark, d)).drop("correct")).select(F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
 
 
 _CORR = f"SELECT seq, r, sum(({_val('correct')} - {_val('wrong')}) * x) AS c FROM p JOIN x1 USING (k)"
@@ -185,8 +191,7 @@ def nonempty_rows(spark, d):
 
 
 def exact(spark, d):
-    c = cells(elements(spark, d))
-    return codec.decoded(c.drop("bits"), codec.escapes(c))
+    return codec.decoded(cells(elements(spark, d)))
 
 
 def _mv(n, b="bits"):
@@ -199,7 +204,7 @@ def _y(df, *names):
 
 @query(_sql(f"SELECT row, y FROM ({_mv(1, _PLAIN)})"))
 def matvec_unpatched(spark, d):
-    return _y(linalg.matvec(codec.decoded(cells(elements(spark, d)).drop("bits")), vectors(spark, d)))
+    return _y(linalg.matvec(codec.decoded(cells(elements(spark, d)).drop("correct")), vectors(spark, d)))
 
 
 @query(_sql(f"SELECT row, y FROM ({_mv(1)})"))
@@ -209,9 +214,9 @@ def matvec(spark, d):
 
 @query(_sql(f"SELECT row, y FROM ({_mv(1)})"))
 def matvec_patched(spark, d):
-    c, x = cells(elements(spark, d)), vectors(spark, d)
-    y = linalg.matvec(codec.decoded(c.drop("bits")), x)
-    return _y(linalg.patched(y, linalg.patch_correction(codec.escapes(c), x, B.from_bf16)))
+    g, x = groups(elements(spark, d)), vectors(spark, d)
+    y = linalg.matvec(codec.decoded(codec.cells(g).drop("correct")), x)
+    return _y(linalg.patched(y, linalg.patch_correction(codec.escapes(g), x, B.from_bf16)))
 
 
 @query(_sql(f"SELECT row // 2 AS row, max(y) FILTER (row % 2 = 0) AS gate, max(y) FILTER (row % 2 = 1) AS up FROM ({_mv(1)}) GROUP BY 1"))
@@ -236,6 +241,44 @@ def gemm_blocked(spark, d):
     return _y(linalg.gemm_blocked(exact(spark, d), vectors(spark, d, 8)), F.col("seq").alias("seq_id"))
 
 
+@query(_sql(f"SELECT seq AS seq_id, row, y FROM ({_mv(32)})").replace("LIMIT 8)", "LIMIT 32)"))
+def gemm_auto(spark, d):
+    """The plan is chosen by the shape: 32 sequences and rows of 64 are multiplied by blocks."""
+    return _y(linalg.product(exact(spark, d), vectors(spark, d, 32), 32, 64), F.col("seq").alias("seq_id"))
+
+
+# The same for two tensors in one job, each with a base exponent of its own.
+_TWO = """e AS (SELECT t.tensor, vec_id AS r, i - 1 AS k, (embedding[i]::FLOAT * t.f)::FLOAT AS v FROM embeddings, unnest(range(1, 65)) q(i), (VALUES ('gate', 1.0::FLOAT), ('up', 0.37::FLOAT)) t(tensor, f)),
+u AS (SELECT *, (v::BIT)::UINTEGER::BIGINT AS u FROM e),
+bf AS (SELECT tensor, r, k, ((u + 32767 + ((u >> 16) & 1)) >> 16) & 65535 AS bits FROM u),
+hist AS (SELECT n.tensor, s.exp, coalesce(h.n, 0) AS n FROM (VALUES ('gate'), ('up')) n(tensor) CROSS JOIN unnest(range(0, 256)) s(exp) LEFT JOIN (SELECT tensor, (bits >> 7) & 255 AS exp, count(*) AS n FROM bf GROUP BY ALL) h ON h.tensor = n.tensor AND h.exp = s.exp),
+win AS (SELECT tensor, exp, sum(n) OVER (PARTITION BY tensor ORDER BY exp ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS covered FROM hist),
+base AS (SELECT tensor, exp - 1 AS base_exp FROM win WHERE exp <= 241 QUALIFY row_number() OVER (PARTITION BY tensor ORDER BY covered DESC, exp) = 1),
+g AS (SELECT bf.*, base_exp, CASE WHEN ((bits >> 7) & 255) - base_exp BETWEEN 1 AND 15 THEN ((bits >> 7) & 255) - base_exp ELSE 0 END AS grp FROM bf JOIN base USING (tensor)),
+p AS (SELECT tensor, r, k, bits AS correct, ((bits >> 15) << 15) | (base_exp << 7) | (bits & 127) AS wrong FROM g WHERE grp = 0),
+x1 AS (SELECT vec_id AS seq, i - 1 AS k, embedding[i]::DOUBLE AS x FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8), unnest(range(1, 65)) t(i))"""
+
+
+@query(f"WITH {_TWO} SELECT seq AS seq_id, r AS row, round(sum({_val('bits')} * x) FILTER (tensor = 'gate'), 4) + 0.0 AS gate, round(sum({_val('bits')} * x) FILTER (tensor = 'up'), 4) + 0.0 AS up FROM g JOIN x1 USING (k) GROUP BY ALL")
+def dual_tensors(spark, d):
+    """Two tensors of one input in one job."""
+    y = linalg.matvec(codec.decoded(cells(tensors(spark, d))), vectors(spark, d, 8))
+    pick = lambda t: r4(F.max(F.when(F.col("tensor") == t, F.col("y"))))
+    return y.groupBy(F.col("seq").alias("seq_id"), F.col("r").alias("row")).agg(pick("gate").alias("gate"), pick("up").alias("up"))
+
+
+@query(f"WITH {_TWO} SELECT tensor, seq, r AS row, round(sum(({_val('correct')} - {_val('wrong')}) * x), 6) + 0.0 AS correction FROM p JOIN x1 USING (k) GROUP BY tensor, seq, r")
+def patch_tensors(spark, d):
+    """The patches of two tensors in one job."""
+    c = linalg.patch_correction(codec.escapes(groups(tensors(spark, d))), vectors(spark, d, 8), B.from_bf16)
+    return c.select("tensor", "seq", F.col("r").alias("row"), r4(F.col("correction"), 6).alias("correction"))
+
+
+@query(f"WITH {_TWO} SELECT tensor, vec_id, col, value FROM (SELECT tensor, r AS vec_id, k AS col, round({_val('bits')}, 8) + 0.0 AS value FROM g)")
+def decode_tensors(spark, d):
+    return codec.decoded(cells(tensors(spark, d))).select("tensor", F.col("r").alias("vec_id"), F.col("k").alias("col"), r4(F.col("v"), 8).alias("value"))
+
+
 _X = "x AS (SELECT vec_id AS seq, i - 1 AS k, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) t(i)), n AS (SELECT max(seq) + 1 AS n FROM x), o AS (SELECT (seq + 1) % n.n AS seq, k, x AS b FROM x, n)"
 
 
@@ -269,6 +312,11 @@ def swiglu(spark, d):
     return nn.swiglu(rows(spark, d), other(spark, d)).select(F.col("seq").alias("vec_id"), F.col("k").alias("col"), r4(F.col("y")).alias("y"))
 
 
+@query(f"WITH {_X}, y AS (SELECT seq, k, ((x / (1 + exp(-x)) * b)::FLOAT::BIT)::UINTEGER::BIGINT AS u FROM x JOIN o USING (seq, k)) SELECT seq AS vec_id, k AS col, ((u + 32767 + ((u >> 16) & 1)) >> 16) & 65535 AS bits FROM y")
+def swiglu_bf16(spark, d):
+    return nn.swiglu_bf16(rows(spark, d), other(spark, d)).select(F.col("seq").alias("vec_id"), F.col("k").alias("col"), "bits")
+
+
 @query(f"WITH {_X}, t AS (SELECT conv_id, turn AS pos, length(text) % 600 AS id FROM conversations) SELECT conv_id, pos, i AS col, round(coalesce(x, 0), 4) + 0.0 AS value FROM t, unnest(range(0, 64)) q(i) LEFT JOIN x ON seq = id AND k = i")
 def embed_lookup(spark, d):
     t = read(spark, d, "conversations").select(F.col("conv_id").alias("seq"), F.col("turn").alias("pos"), (F.length("text") % 600).cast("long").alias("token_id"))
@@ -304,6 +352,31 @@ def kv_dequant_error(spark, d):
     return q.groupBy("pos", "kv_head").agg(F.round(F.max(F.abs(F.col("y") - F.col("x")) / F.col("scale")), 4).alias("max_err"))
 
 
+_S = "z AS (SELECT label::BIGINT AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding FROM embeddings), x AS (SELECT session, pos, i - 1 AS k, embedding[i]::DOUBLE AS x FROM z, unnest(range(1, 65)) t(i))"
+_STORE = "m AS (SELECT session, pos, k // 16 AS kv_head, k % 16 AS d, x, max(abs(x)) OVER (PARTITION BY session, pos, k // 16) AS top FROM {0}) SELECT session, pos, kv_head, d, greatest(least(CASE WHEN top = 0 THEN 0 ELSE round_even(x * 127.0 / top, 0) END, 127), -127)::INT AS q, round(top / 127.0, 8) AS scale FROM m"
+
+
+def session_cells(spark, d):
+    """session, pos, k, x: each label's embeddings in order, as the tokens of a session."""
+    from pyspark.sql import Window
+
+    e = read(spark, d, "embeddings").withColumn("pos", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+    return e.select(F.col("label").cast("long").alias("session"), "pos", F.posexplode("embedding").alias("k", "x")).select("session", "pos", F.col("k").cast("long").alias("k"), F.col("x").cast("double").alias("x"))
+
+
+@query(f"WITH {_S}, {_STORE.format('x')}")
+def kv_store_sessions(spark, d):
+    """Sessions with positions in common, each with rows of its own."""
+    c = session_cells(spark, d).withColumn("kv_head", F.expr("k div 16")).withColumn("d", F.col("k") % 16)
+    return kv.quantise(c).select("session", "pos", "kv_head", "d", "q", F.round("scale", 8).alias("scale"))
+
+
+@query(f"WITH {_S}, h AS (SELECT session, pos, k // 16 AS head, k % 16 AS d, x FROM x), a AS (SELECT l.session, l.pos, l.head, l.d, l.x AS a, u.x AS b, l.pos * pow(10000.0::DOUBLE, -2.0 * l.d / 16) AS t FROM h l JOIN h u ON l.session = u.session AND l.pos = u.pos AND l.head = u.head AND u.d = l.d + 8), r AS (SELECT session, pos, head * 16 + d AS k, a * cos(t) - b * sin(t) AS x FROM a UNION ALL SELECT session, pos, head * 16 + d + 8, a * sin(t) + b * cos(t) FROM a), {_STORE.format('r')}")
+def rope_store_kv(spark, d):
+    """Keys rotated by position, then stored."""
+    return kv.rotated_store(session_cells(spark, d), 16).select("session", "pos", "kv_head", "d", "q", F.round("scale", 8).alias("scale"))
+
+
 def turns(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", (F.floor(F.length("text") / 4) + 1).cast("long").alias("n"))
 
@@ -405,6 +478,31 @@ def detokenize_all(spark, d):
     return read(spark, d, "documents").select("doc_id", T.joined(ids, dictionary()).alias("text"))
 
 
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def detokenize_bytes(spark, d):
+    """Ids of whole texts back to bytes, token by token: every text as it was."""
+    v = dictionary()
+    return read(spark, d, "documents").select("doc_id", T.decoded(T.encode_udf(v, MERGES)("text"), v).alias("text"))
+
+
+@query("SELECT doc_id, array_to_string([256] || list_transform(string_split(rtrim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g')), ' '), lambda h: CASE WHEN h = '' OR h >= '80' THEN 0 ELSE ('0x' || h)::INT END)[:CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 10000000 END], ',') AS ids FROM documents")
+def tokenize_bytes(spark, d):
+    """Begin id first, then the bytes; those from 128 on are not in this vocabulary and get id 0."""
+    v = {t: i for t, i in dictionary().items() if i < 128}
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.encode_udf(v, [], 256)("text").cast("array<string>"), ",").alias("ids"))
+
+
+_JSON = '{"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}, "added_tokens": [{"id": 1, "content": "<s>", "special": true}, {"id": 2, "content": "</s>", "special": true}, {"id": 7, "content": "<|end|>", "special": true}, {"id": 8, "content": "x", "special": true}, {"id": 9, "content": "plain", "special": false}, {"id": 10, "content": "<|e", "special": true}]}'
+
+
+@query(f"""SELECT (t->>'id')::INT AS id, t->>'content' AS text, (SELECT count(*) FROM conversations) AS n_turns FROM (SELECT unnest(json_extract('{_JSON}', '$.added_tokens[*]')) AS t) WHERE t->>'special' = 'true' AND (t->>'id')::INT > 2 AND length(t->>'content') > 1""")
+def special_tokens(spark, d):
+    """The special tokens of a tokenizer's JSON text, with the number of turns that they would be looked for in."""
+    raw = spark.createDataFrame([(_JSON,)], "value string")
+    n = read(spark, d, "conversations").agg(F.count("*").alias("n_turns"))
+    return dictionaries.special_tokens(dictionaries.added_of(raw)).join(F.broadcast(n))
+
+
 @query("SELECT conv_id, turn, list_aggregate(regexp_extract_all(role || '<|end|>' || text || '<|end|><|e', '(?s)<\\|end\\|>|<\\|e|[^<]+|<'), 'string_agg', '~') AS parts FROM conversations WHERE NOT contains(text, '<')")
 def special_split(spark, d):
     """Every turn; the SQL has only those with a text that holds no '<', which is all of sf0.1."""
@@ -432,6 +530,40 @@ def run_stats(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), n("user").alias("n_prompt"), n("assistant").alias("n_gen"), F.round(rate, 4).alias("tok_s"))
 
 
+_PRINTED = "conv_id, turn, length(text) AS n, length(text) // 3 AS m, (length(text) // 3) / 4.0 AS s"
+
+
+@query(f"SELECT conv_id, turn, n AS n_prompt, m AS n_gen, turn::BIGINT AS context, 4096::BIGINT AS max_context, round(s, 2)::DOUBLE AS seconds, CASE WHEN m > 0 THEN 4.0::DOUBLE END AS speed FROM (SELECT {_PRINTED} FROM conversations WHERE text IS NOT NULL)")
+def stats_parse(spark, d):
+    """The statistics that an interactive run prints for each turn, read back from their text."""
+    n = F.length("text")
+    m = F.expr("length(text) div 3")
+    speed = F.when(m > 0, F.lit("Decode speed: 4.0 tok/s\n")).otherwise(F.lit(""))
+    shown = F.concat(F.lit("\n--- Stats ---\nPrompt tokens: "), n, F.lit("\nGenerated tokens: "), m, F.lit("\nContext: "), "turn", F.lit(" / 4096 tokens\nTotal time: "), F.format_string("%.2f", m / F.lit(4.0)), F.lit(" s\n"), speed)
+    own = read(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", shown.alias("out"))
+    return own.select("conv_id", "turn", *(c.alias(k) for k, c in T.stats_of(F.col("out")).items()))
+
+
+@query("WITH t AS (SELECT conv_id, turn, role, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pos FROM conversations) SELECT conv_id, turn, n AS n_gen, pos::BIGINT AS context, round(n / (0.02 * n + 0.1), 4) AS tok_s FROM t WHERE role = 'assistant' AND n > 0")
+def interactive_stats(spark, d):
+    """Each answer's units, the position after it, and the rate of its decoding alone, at 0.1 s and 0.02 s a unit."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    own = read(spark, d, "conversations").withColumn("n", F.length("text")).withColumn("context", F.sum("n").over(w))
+    return own.filter("role = 'assistant' and n > 0").select("conv_id", "turn", F.col("n").alias("n_gen"), "context", F.round(F.col("n") / (0.02 * F.col("n") + 0.1), 4).alias("tok_s"))
+
+
+@query("SELECT event_id // 10 AS step, event_type AS stage, round(sum(value), 4) AS ms, round(100 * sum(value) / sum(sum(value)) OVER (PARTITION BY event_id // 10), 4) AS pct FROM events GROUP BY event_id // 10, event_type")
+def profile_stages(spark, d):
+    """Time by stage for every ten steps, and its share of them."""
+    from pyspark.sql import Window
+
+    by = read(spark, d, "events").groupBy(F.expr("event_id div 10").alias("step"), F.col("event_type").alias("stage")).agg(F.sum("value").alias("t"))
+    share = 100 * F.col("t") / F.sum("t").over(Window.partitionBy("step"))
+    return by.select("step", "stage", F.round("t", 4).alias("ms"), F.round(share, 4).alias("pct"))
+
+
 def small_model(spark, d):
     """Weights whose rows are embeddings in turn; ids below 32 are the vocabulary."""
     x = rows(spark, d)
@@ -454,6 +586,22 @@ def forward_one_layer(spark, d):
     return model.forward(weights, x).select("session", "pos", F.col("k").alias("col"), r4(F.col("x")).alias("y"))
 
 
+@query()
+def forward_two_layers(spark, d):
+    weights, table = small_model(spark, d)
+    both = weights.withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("v", F.when(F.col("layer") == 1, -F.col("v")).otherwise(F.col("v")))
+    x = prompts(spark).join(table.withColumnRenamed("id", "token_id"), "token_id").select("session", "pos", "k", "x")
+    return model.forward_all(both, x, 2).select("session", "pos", F.col("k").alias("col"), r4(F.col("x")).alias("y"))
+
+
+@query()
+def generate_eos(spark, d):
+    """Generation that ends a session at the end id, here the one that generate_k's first session begins with."""
+    weights, table = small_model(spark, d)
+    first = model.generate(weights, table, prompts(spark), 1).filter("session = 0").agg(F.max_by("token_id", "pos")).first()[0]
+    return model.generate(weights, table, prompts(spark), 3, eos=first)
+
+
 @query()
 def generate_k(spark, d):
     weights, table = small_model(spark, d)

@@ -44,9 +44,18 @@ def forward(weights: DataFrame, x: DataFrame) -> DataFrame:
     return h.select(F.col("seq.session").alias("session"), F.col("seq.pos").alias("pos"), "k", F.col("y").alias("x"))
 
 
-def next_token(weights: DataFrame, table: DataFrame, x: DataFrame) -> DataFrame:
-    """session, token_id: greedy, from the last position's logits over the table (id, k, x)."""
-    out = forward(weights, x)
+def forward_all(weights: DataFrame, x: DataFrame, layers: int) -> DataFrame:
+    """All layers in turn, each cut from the plan of the one before. weights: as for forward, with layer."""
+    for i in range(layers):
+        x = forward(weights.filter(F.col("layer") == i).drop("layer"), x)
+        if i + 1 < layers:
+            x = x.checkpoint()
+    return x
+
+
+def next_token(weights: DataFrame, table: DataFrame, x: DataFrame, layers: int | None = None) -> DataFrame:
+    """session, token_id: greedy, from the last position's logits over the table (id, k, x). layers: of weights with layer."""
+    out = forward(weights, x) if layers is None else forward_all(weights, x, layers)
     last = out.groupBy("session").agg(F.max("pos").alias("pos"))
     h = out.join(last, ["session", "pos"]).select(F.col("session").alias("seq"), "k", "x")
     w = table.select(F.lit("out").alias("tensor"), F.col("id").alias("r"), "k", F.col("x").alias("v"))
@@ -54,12 +63,22 @@ def next_token(weights: DataFrame, table: DataFrame, x: DataFrame) -> DataFrame:
     return nn.argmax(logits.select("seq", F.col("r").alias("k"), F.col("y").alias("x"))).select(F.col("seq").alias("session"), F.col("idx").alias("token_id"))
 
 
-def generate(weights: DataFrame, table: DataFrame, prompt: DataFrame, steps: int) -> DataFrame:
-    """session, pos, token_id: prompt and what follows it; each step is cut from the plan of the last one."""
-    tokens = prompt
+def generate(weights: DataFrame, table: DataFrame, prompt: DataFrame, steps: int, eos: int | None = None, layers: int | None = None) -> DataFrame:
+    """session, pos, token_id: prompt and what follows it; each step is cut from the plan of the last one.
+
+    A session whose next token is eos ends without it, whatever the others do; the loop ends when all have.
+    """
+    tokens, ended = prompt, None
     for _ in range(steps):
-        x = tokens.join(table.withColumnRenamed("id", "token_id"), "token_id").select("session", "pos", "k", "x")
-        ends = tokens.groupBy("session").agg((F.max("pos") + 1).alias("pos"))
-        fresh = next_token(weights, table, x).join(ends, "session").select("session", "pos", "token_id")
+        live = tokens if ended is None else tokens.join(ended, "session", "left_anti")
+        x = live.join(table.withColumnRenamed("id", "token_id"), "token_id").select("session", "pos", "k", "x")
+        ends = live.groupBy("session").agg((F.max("pos") + 1).alias("pos"))
+        fresh = next_token(weights, table, x, layers).join(ends, "session").select("session", "pos", "token_id").checkpoint()
+        if eos is not None:
+            over = fresh.filter(F.col("token_id") == eos).select("session")
+            ended = (over if ended is None else ended.unionByName(over)).checkpoint()
+            fresh = fresh.filter(F.col("token_id") != eos)
+        if fresh.isEmpty():
+            break
         tokens = tokens.unionByName(fresh).checkpoint()
     return tokens

@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("lineitem", "embeddings", "documents", "conversations"):
+    for t in ("lineitem", "embeddings", "documents", "conversations", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     return con
 

@@ -93,7 +93,10 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 
 def without(docs: DataFrame, dropped: DataFrame, rows: int = 400_000) -> DataFrame:
-    """docs less the rows whose doc_id and text hash are in dropped (doc_id, th), which is broadcast if its counted rows are few."""
+    """docs less the rows whose doc_id and text hash are in dropped (doc_id, th), which is broadcast if its counted rows are few.
+
+    Null ids are equal to each other, and null texts to empty ones; rows that are repeated in docs go or stay together.
+    """
     told = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     gone = written(dropped.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "dropped")
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (told == gone["gone_th"])

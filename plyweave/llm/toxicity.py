@@ -240,9 +240,10 @@ def crossed(texts: list[str], y: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted_bins(rows: DataFrame, model: Model) -> DataFrame:
-    """lang, toxic, bin, n: how many of rows (text, lang, toxic) have a score in that bin."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+def counted_bins(rows: DataFrame, model: Model, held=None) -> DataFrame:
+    """lang, toxic, bin, n: how many of rows (text, lang, toxic) have a score in that bin. held: the model, if it is
+    broadcast already."""
+    held = held or rows.sparkSession.sparkContext.broadcast(model)
 
     def binned(batches):
         m = held.value
@@ -303,8 +304,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts += [(r.lang or "", t, int(b), 1) for r, t, b in zip(got, y, crossed([r.text for r in got], y), strict=True)]
     if n > sample:
         rest = own.filter(~drawn)
-        found = counted_bins(texts.filter(fold(F.col("doc_id")) != 1).join(F.broadcast(rest) if n <= FEW else rest, "doc_id"), model)
+        held = docs.sparkSession.sparkContext.broadcast(model)
+        found = counted_bins(texts.filter(fold(F.col("doc_id")) != 1).join(F.broadcast(rest) if n <= FEW else rest, "doc_id"), model, held)
         counts += [tuple(r) for r in found.collect()]  # at most 60 * BINS for each language and label
+        held.destroy()
     model.by_lang = thresholds(counts)
     return model
 

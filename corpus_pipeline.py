@@ -1,7 +1,9 @@
 """The corpus pipeline: STAGES in order, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet before the next one reads it. All
-but the last return the columns of documents.
+but the last return the columns of documents, whatever else docs has. Null texts are empty: they are scored like empty
+ones, are no one's duplicate, hold no benchmark words and no secrets, and are packed as an end id alone. Null ids are
+ids like others; repeated rows are duplicates of each other unless they have no words. Empty tables give no rows.
 """
 
 from __future__ import annotations

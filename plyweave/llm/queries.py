@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontam, neardup, packing, piecewise, repeats, sharding, token_counts, toxicity, urls
+from . import credentials, decontam, neardup, oracles, packing, piecewise, repeats, sharding, token_counts, toxicity, urls
 from .common import table
 
 #: Fixed by the task.
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

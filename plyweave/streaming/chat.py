@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.kv import shifted
@@ -27,8 +30,20 @@ def context_shift_stream(turns: DataFrame, max_seq: int = 8192, max_tokens: int
     )
 
 
+def folder(spark: SparkSession) -> str:
+    """Where a stream's output and state go: spark.checkpoint.dir, or in plain local mode a folder of this run."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="plyweave-stream-")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a finite stream gives, through the memory sink."""
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a finite stream gives, written by the executors and read again."""
+    spark = stream.sparkSession
+    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    to = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+    to.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")

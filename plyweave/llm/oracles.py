@@ -50,4 +50,28 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM d LEFT JOIN t USING (rid) LEFT JOIN q USING (rid)
 """
 
-SQL = {"op3_near_duplicates": OP3, "op5_decontamination": OP5, "op8_suffix_dedup": OP8}
+#: Hosts, paths and rules; then the tree level by level, each with sums over its nodes and their children.
+OP10 = r"""
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(said, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+fits AS (SELECT DISTINCT host, path, said, rule FROM h JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/')))),
+best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said FROM fits GROUP BY ALL),
+seen AS (SELECT page_id, host, path, rule, said, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE
+  WHEN regexp_full_match(x, '[0-9]+(\.[A-Za-z0-9]+)?') THEN '{n}' WHEN regexp_full_match(x, '[0-9a-fA-F-]{8,}') THEN '{x}' WHEN regexp_matches(x, '[0-9]') AND length(x) >= 6 THEN '{s}'
+  ELSE translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS segs FROM h LEFT JOIN best USING (host, path)),
+groups AS (SELECT host, segs, count(said) AS lab, count(*) FILTER (said = 'block') AS bad FROM seen GROUP BY ALL),
+tree AS (SELECT host, segs, lab, bad, '' AS template, 0 AS level, false AS done FROM groups
+  UNION ALL
+  SELECT host, segs, lab, bad, template || CASE WHEN s = '' THEN '' WHEN children > 24 THEN '/*' WHEN children > 1 AND own_lab > 0 AND abs(own_bad - own_lab * share) / sqrt(own_lab * share * (1 - share) + 1e-9) < 2 THEN '/~' ELSE '/' || s END, level + 1, s = ''
+  FROM (SELECT *, (sum(bad) OVER node + 0.5) / (sum(lab) OVER node + 1.0) AS share, count(DISTINCT s) OVER node AS children, sum(lab) OVER child AS own_lab, sum(bad) OVER child AS own_bad
+    FROM (SELECT *, coalesce(segs[level + 1], '') AS s FROM tree WHERE NOT done) WINDOW node AS (PARTITION BY host, template), child AS (PARTITION BY host, template, s))),
+leaf AS (SELECT host, template, sum(lab) AS lab, sum(bad) AS bad FROM tree WHERE done GROUP BY ALL),
+base AS (SELECT (sum(bad) + 0.5) / (sum(lab) + 1.0) AS share FROM groups),
+prior AS (SELECT host, (sum(bad) + 4.0 * any_value(share)) / (sum(lab) + 4.0) AS prior FROM leaf, base GROUP BY host),
+judged AS (SELECT tree.host, segs, tree.template, (leaf.bad + 4.0 * prior) / (leaf.lab + 4.0) AS purity FROM tree JOIN leaf USING (host, template) JOIN prior USING (host) WHERE done)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+FROM seen JOIN judged USING (host, segs)
+"""
+
+SQL = {"op3_near_duplicates": OP3, "op5_decontamination": OP5, "op8_suffix_dedup": OP8, "op10_url_filter": OP10}

@@ -433,6 +433,15 @@ def test_tree_of_deep_paths(spark):
     rules = [("block", "h.com/a/b/news/"), ("allow", "h.com/a/"), ("block", "h.com/shop/a/a/b"), ("block", "k.org/news/a/a/a"), ("allow", "k.org/news/"), ("block", "wide.net/x/wa"), ("allow", "i.h.com/b/b/b")]
     got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()
     assert sorted((r.page_id, r.verdict, r.template) for r in got) == sorted(judged_by_hand(pages, rules))
+    # The SQL, with its own rules.
+    import duckdb
+    import pyarrow as pa
+
+    own = [(i, (u or "").replace("h.com", "example.org").replace("k.org", "x.com").replace("/a/", "/fr/").replace("/b/", "/de/").replace("/news", "/en/12")) for i, u in pages]
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [i for i, _ in own], "url": [u for _, u in own]}))
+    got = urls.filter_urls(spark.createDataFrame(own, "page_id long, url string"), queries.URL_RULES).selectExpr("page_id", "host", "path", "rule", "verdict", "template", "round(purity, 6)")
+    assert as_bag(con.sql(queries.oracle_sql()["op10_url_filter"]).fetchall()) == as_bag(tuple(r) for r in got.collect())
 
 
 @pytest.mark.parametrize("limit", [1])
@@ -640,12 +649,12 @@ def test_pipeline(spark, data):
     assert sum(r.length for r in corpus_pipeline.run(spark, data).collect()) == total
 
 
-@pytest.mark.parametrize("name", ["op3_near_duplicates", "op5_decontamination", "op8_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op3_near_duplicates", "op5_decontamination", "op8_suffix_dedup", "op10_url_filter"])
 def test_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     rel = con.sql(queries.oracle_sql()[name])
     got = Q[name](spark, data)

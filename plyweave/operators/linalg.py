@@ -19,13 +19,13 @@ def small(x: DataFrame) -> DataFrame:
     return F.broadcast(x) if x.limit(FEW + 1).count() <= FEW else x
 
 
-def matvec(w: DataFrame, x: DataFrame) -> DataFrame:
+def matvec(w: DataFrame, x: DataFrame, counted: bool = True) -> DataFrame:
     """w: tensor, r, k, v; x: seq, k, x. Gives seq, tensor, r, y; any number of tensors and sequences in one job.
 
     Sums are made where the elements of w are, before anything is shuffled; an x of too many rows to broadcast is
-    shuffled with w by k.
+    shuffled with w by k. Without counted the join is left to the optimizer: for an x that is costly to count.
     """
-    return w.join(small(x), "k").groupBy("seq", "tensor", "r").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+    return w.join(small(x) if counted else x, "k").groupBy("seq", "tensor", "r").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
 def patch_correction(patches: DataFrame, x: DataFrame, value) -> DataFrame:

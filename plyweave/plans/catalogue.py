@@ -10,6 +10,7 @@ from ..operators import codec, kv, linalg, nn
 from ..sources import dictionaries
 from ..streaming import chat
 from . import model
+from .settings import setting
 
 QUERIES, SQL = {}, {}
 
@@ -244,7 +245,7 @@ def gemm_blocked(spark, d):
 @query(_sql(f"SELECT seq AS seq_id, row, y FROM ({_mv(32)})").replace("LIMIT 8)", "LIMIT 32)"))
 def gemm_auto(spark, d):
     """The plan is chosen by the shape: 32 sequences and rows of 64 are multiplied by blocks."""
-    return _y(linalg.product(exact(spark, d), vectors(spark, d, 32), 32, 64), F.col("seq").alias("seq_id"))
+    return _y(linalg.product(exact(spark, d), vectors(spark, d, 32), 32, 64, setting(spark, "plyweave.product")), F.col("seq").alias("seq_id"))
 
 
 # The same for two tensors in one job, each with a base exponent of its own.
@@ -285,7 +286,7 @@ _X = "x AS (SELECT vec_id AS seq, i - 1 AS k, embedding[i]::DOUBLE AS x FROM emb
 def other(spark, d):
     """Each vector under the next one's id."""
     x = rows(spark, d)
-    n = read(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    n = read(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("n")).scalar()
     return x.withColumn("seq", (F.col("seq") + 1) % n)
 
 
@@ -602,6 +603,14 @@ def generate_eos(spark, d):
     return model.generate(weights, table, prompts(spark), 3, eos=first)
 
 
+@query()
+def chat_turns(spark, d):
+    """Two sessions of two turns and one of one, answered turn by turn."""
+    weights, table = small_model(spark, d)
+    own = [(s, t, i, 1 if i == 0 else (5 * s + 3 * i + t) % 32) for s in range(3) for t in range(1 if s == 2 else 2) for i in range(3)]
+    return model.converse(weights, table, spark.createDataFrame(own, "session long, turn long, i long, token_id long"), 2, 1, 2)
+
+
 @query()
 def generate_k(spark, d):
     weights, table = small_model(spark, d)

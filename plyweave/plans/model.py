@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import linalg, nn
@@ -23,7 +23,7 @@ def forward(weights: DataFrame, x: DataFrame) -> DataFrame:
     h = x.select(seq, "k", "x")
 
     def product(names, y):
-        return linalg.matvec(weights.filter(F.col("tensor").isin(*names)), y.withColumnRenamed("y", "x"))
+        return linalg.matvec(weights.filter(F.col("tensor").isin(*names)), y.withColumnRenamed("y", "x"), counted=False)
 
     one = lambda df, name: df.filter(F.col("tensor") == name).select("seq", F.col("r").alias("k"), F.col("y").alias("x"))
     qkv = product(["wq", "wk", "wv"], nn.rms_norm(h))
@@ -59,26 +59,51 @@ def next_token(weights: DataFrame, table: DataFrame, x: DataFrame, layers: int |
     last = out.groupBy("session").agg(F.max("pos").alias("pos"))
     h = out.join(last, ["session", "pos"]).select(F.col("session").alias("seq"), "k", "x")
     w = table.select(F.lit("out").alias("tensor"), F.col("id").alias("r"), "k", F.col("x").alias("v"))
-    logits = linalg.matvec(w, nn.rms_norm(h).withColumnRenamed("y", "x"))
+    logits = linalg.matvec(w, nn.rms_norm(h).withColumnRenamed("y", "x"), counted=False)
     return nn.argmax(logits.select("seq", F.col("r").alias("k"), F.col("y").alias("x"))).select(F.col("seq").alias("session"), F.col("idx").alias("token_id"))
 
 
-def generate(weights: DataFrame, table: DataFrame, prompt: DataFrame, steps: int, eos: int | None = None, layers: int | None = None) -> DataFrame:
+def generate(weights: DataFrame, table: DataFrame, prompt: DataFrame, steps: int, eos: int | tuple[int, ...] | None = None, layers: int | None = None) -> DataFrame:
     """session, pos, token_id: prompt and what follows it; each step is cut from the plan of the last one.
 
-    A session whose next token is eos ends without it, whatever the others do; the loop ends when all have.
+    A session whose next token is eos (or one of several) ends without it, whatever the others do; the loop ends when all
+    have.
     """
+    stops = () if eos is None else eos if isinstance(eos, tuple) else (eos,)
     tokens, ended = prompt, None
     for _ in range(steps):
         live = tokens if ended is None else tokens.join(ended, "session", "left_anti")
         x = live.join(table.withColumnRenamed("id", "token_id"), "token_id").select("session", "pos", "k", "x")
         ends = live.groupBy("session").agg((F.max("pos") + 1).alias("pos"))
         fresh = next_token(weights, table, x, layers).join(ends, "session").select("session", "pos", "token_id").checkpoint()
-        if eos is not None:
-            over = fresh.filter(F.col("token_id") == eos).select("session")
+        if stops:
+            over = fresh.filter(F.col("token_id").isin(*stops)).select("session")
             ended = (over if ended is None else ended.unionByName(over)).checkpoint()
-            fresh = fresh.filter(F.col("token_id") != eos)
+            fresh = fresh.filter(~F.col("token_id").isin(*stops))
         if fresh.isEmpty():
             break
         tokens = tokens.unionByName(fresh).checkpoint()
     return tokens
+
+
+def converse(weights: DataFrame, table: DataFrame, turns: DataFrame, steps: int, bos: int, eos: int, layers: int | None = None) -> DataFrame:
+    """session, pos, token_id: turns (session, turn, i, token_id) in order, each followed by at most `steps` tokens and eos.
+
+    The begin id is left out after a session's first turn; an answer ends before eos or bos. Sessions may have different
+    turns; all that have a turn of one number are answered together.
+    """
+    tokens = None
+    for t in sorted(r.turn for r in turns.select("turn").distinct().collect()):  # as many as the longest conversation has
+        new = turns.filter(F.col("turn") == t)
+        ends = None if tokens is None else tokens.groupBy("session").agg((F.max("pos") + 1).alias("start"))
+        new = new.withColumn("start", F.lit(0).cast("long")) if ends is None else new.join(ends, "session", "left").withColumn("start", F.coalesce("start", F.lit(0)))
+        new = new.filter((F.col("start") == 0) | (F.col("i") > 0) | (F.col("token_id") != bos))
+        at = F.row_number().over(Window.partitionBy("session").orderBy("i")) - 1
+        new = new.select("session", (F.col("start") + at).alias("pos"), "token_id").checkpoint()
+        here = new.select("session").distinct()
+        asked = new if tokens is None else new.unionByName(tokens.join(here, "session", "left_semi"))
+        said = generate(weights, table, asked, steps, (eos, bos), layers)
+        over = said.groupBy("session").agg((F.max("pos") + 1).alias("pos")).withColumn("token_id", F.lit(eos))
+        after = said.unionByName(over)
+        tokens = (after if tokens is None else after.unionByName(tokens.join(here, "session", "left_anti"))).checkpoint()
+    return tokens if tokens is not None else turns.select("session", F.col("i").alias("pos"), "token_id")

@@ -96,6 +96,24 @@ def test_generation_and_its_end(spark, small):
     assert got == {s: followed(w, table, ids, 3, end) for s, ids in PROMPTS.items()} and got[0] == PROMPTS[0]
 
 
+def test_turns(spark, small):
+    """The begin id once, an end id after each answer."""
+    w, table = small
+    want = {}
+    for s in range(3):
+        ids = []
+        for t in range(1 if s == 2 else 2):
+            ids += [x for i in range(3) if (x := 1 if i == 0 else (5 * s + 3 * i + t) % 32) != 1 or i or not ids]
+            for _ in range(2):
+                nxt = followed(w, table, ids, 1)[-1]
+                if nxt in (1, 2):
+                    break
+                ids.append(nxt)
+            ids.append(2)
+        want[s] = ids
+    assert ids_of(catalogue.queries()["chat_turns"](spark, D).collect()) == want
+
+
 def test_encoding_of_whole_texts(spark):
     """Every merge over the whole text in turn, without cutting it."""
     v, table = catalogue.dictionary(), T.byte_table()
@@ -144,6 +162,18 @@ def test_product_by_shape(spark):
         linalg.product(w, v, 1, 1, "fast")
 
 
+def test_settings(spark):
+    from plyweave.plans.settings import setting
+
+    assert setting(spark, "plyweave.product") == "auto" and setting(spark, "plyweave.context") == 8192
+    spark.conf.set("plyweave.product", "fast")
+    try:
+        with pytest.raises(ValueError):
+            setting(spark, "plyweave.product")
+    finally:
+        spark.conf.unset("plyweave.product")
+
+
 def test_sessions_do_not_share_a_cache(spark):
     x = spark.createDataFrame([(s, 0, 0, d, float((s + 1) * 10**s * d)) for s in range(2) for d in range(4)], "session long, pos long, kv_head long, d long, x double")
     assert {r.scale for r in kv.quantise(x).collect()} == {3 / 127, 60 / 127}

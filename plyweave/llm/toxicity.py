@@ -32,6 +32,9 @@ PARTS = 4
 #: Labels up to which they are broadcast, in rows of an id and two flags.
 FEW = 400_000
 OFFSETS = [(w, k) for w in WIDTHS for k in range(w)]
+#: Of each column of the filters, its pooled output and its place in the window.
+FILTER = np.array([WIDTHS.index(w) * EACH + f for w, _ in OFFSETS for f in range(EACH)])
+PLACE = np.repeat([k for _, k in OFFSETS], EACH)
 
 
 @lru_cache(1)
@@ -183,22 +186,18 @@ def trained(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
                 grads["top"] += err * act
                 down = err * model.top * (raw > 0)
                 grads["bias"] += down
-                for j, (w, k) in enumerate(OFFSETS):
-                    c = WIDTHS.index(w) * EACH
-                    for f in range(EACH):
-                        p = best[c + f] + k
-                        if down[c + f] and p < len(ids):
-                            col = j * EACH + f
-                            grads["filters"][:, col] += down[c + f] * e[p]
-                            rows.append(ids[p])
-                            steps.append(down[c + f] * model.filters[:, col])
+                at_word, gap = best[FILTER] + PLACE, down[FILTER]
+                cols = np.flatnonzero((gap != 0) & (at_word < len(ids)))
+                grads["filters"][:, cols] += (gap[cols, None] * e[at_word[cols]]).T
+                rows.append(ids[at_word[cols]])
+                steps.append(gap[cols, None] * model.filters[:, cols].T)
             for k, g in grads.items():
                 g = g / len(batch)
                 memory[k] += g * g
                 setattr(model, k, getattr(model, k) - rate * g / (np.sqrt(memory[k]) + eps))
             model.base -= np.float32(0.05 * err_sum / len(batch))
             if rows:
-                r, d = np.array(rows), np.array(steps, "f4") / len(batch)
+                r, d = np.concatenate(rows), np.concatenate(steps).astype("f4") / len(batch)
                 for s in range(SUBS):
                     np.add.at(emb_memory[s], r[:, s], (d * d).mean(1))
                     np.add.at(model.emb[s], r[:, s], -rate * d / np.sqrt(emb_memory[s][r[:, s]])[:, None])

@@ -58,6 +58,14 @@ def bounded(docs: DataFrame, most: int = 4 << 20) -> DataFrame:
     return docs
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the executors give back the memory that earlier work has filled: a full collection shrinks their heaps, which
+    otherwise only grow. One task for each core, half a second each; for use between long stages."""
+    n = spark.sparkContext.defaultParallelism
+    collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collect.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def portions(batches, column: int = 0, most: int = 4 << 20):
     """The batches in slices of at most so many bytes of text (one row at least), so that no slice's work is large."""
     for b in batches:

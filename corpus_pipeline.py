@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyweave.llm import credentials, decontam, neardup, packing, toxicity
-from plyweave.llm.common import small_enough, table, without, written
+from plyweave.llm.common import settle, small_enough, table, without, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what reaches its language's threshold. The model learns from the labelled rows of the input tables."""
+    settle(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).filter(~F.col("flagged")).select(*COLUMNS)
@@ -26,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the least id: shingles of five words, similarity 0.8 or more."""
+    settle(spark)
     docs = docs.select(*COLUMNS)
     found = written(neardup.near_duplicates(docs, 5, 80), "near")
     left = without(docs, found.filter("not kept"))
@@ -42,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of which benchmark windows cover a twentieth of the words."""
+    settle(spark)
     docs = docs.select(*COLUMNS)
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.filter(decontam.contaminated()))
@@ -49,11 +52,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets in the texts; every document stays."""
+    settle(spark)
     return credentials.redact(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
+    settle(spark)
     return packing.pack(docs.select(*COLUMNS), 1024)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -58,9 +61,18 @@ def bounded(docs: DataFrame, most: int = 4 << 20) -> DataFrame:
     return docs
 
 
+def trim() -> None:
+    """Gives this process's freed memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def settle(spark: SparkSession) -> None:
-    """Lets the executors give back the memory that earlier work has filled: a full collection shrinks their heaps, which
-    otherwise only grow. One task for each core, half a second each; for use between long stages."""
+    """Lets driver and executors give back the memory that earlier work has filled: a full collection shrinks their heaps,
+    which otherwise only grow. One task for each core, half a second each; for use between long stages."""
+    trim()
+    spark._jvm.System.gc()
     n = spark.sparkContext.defaultParallelism
     collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
     spark.range(0, n, 1, n).select(collect.alias("done")).write.format("noop").mode("overwrite").save()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, portions
+from .common import bounded, portions, trim
 from .neardup import in_groups, mixed, powers, stream
 
 BUCKETS, SUBS, DIM, EACH, WIDTHS = 1 << 16, 4, 8, 4, (1, 2, 3)
@@ -299,6 +299,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = np.array([float(r.toxic > 0) for r in got])
     model = trained([r.text for r in got], y)
     counts = []
+    trim()
     if min(y.sum(), (1 - y).sum()) >= ENOUGH:
         counts += [(r.lang or "", t, int(b), 1) for r, t, b in zip(got, y, crossed([r.text for r in got], y), strict=True)]
     if n > sample:
@@ -308,6 +309,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts += [tuple(r) for r in found.collect()]  # at most 60 * BINS for each language and label
         held.destroy()
     model.by_lang = thresholds(counts)
+    del got, first
+    trim()
     return model
 
 
